@@ -120,6 +120,11 @@ def _classes(digests: DataFrame) -> DataFrame:
         pairs = durable(moved.drop("class").join(least, "rec"))
 
 
+def classes_of(digests: DataFrame, *keep: str) -> DataFrame:
+    """id, class_id and the kept columns of (id, seq, rec, ...)."""
+    return digests.join(_classes(digests), "seq", "left").select("id", F.coalesce("class", "seq").alias("class_id"), *keep)
+
+
 def _confirmed(members: DataFrame, own: DataFrame) -> DataFrame:
     """One row (ok) that is true; fails if texts that were grouped have unlike canonical forms under one digest.
 
@@ -150,7 +155,7 @@ def formatted_copies(items: DataFrame, key: str, text: str) -> DataFrame:
     """
     own = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
     digests = durable(own.mapInArrow(_digests, _DIGESTS))
-    joined = digests.join(_classes(digests), "seq", "left").select("id", F.coalesce("class", "seq").alias("class_id"))
+    joined = classes_of(digests)
     ids = joined.groupBy("class_id", "id").agg(F.lit(1).alias("_1"))
     reps = ids.groupBy("class_id").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"))
     members = ids.join(reps, "class_id").select("id", "rep_id", "copies", F.hex("class_id").alias("class_id"))

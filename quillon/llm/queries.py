@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leakage, mixing, neighbours, pieces, ranking, spans, terms
-from .common import durable, table
+from . import copies, leakage, mixing, neardup, neighbours, pieces, ranking, spans, terms
+from .common import durable, latest, table
 
 SCORES = {"importance": 1.0, "confidence": 1.0, "access_count": 1.0, "centrality": 1.0}
 
@@ -42,6 +42,14 @@ def p3_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies.memory_copies(table(spark, d, "memories")).where("id = rep_id").select("rep_id", "copies")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.memory_pairs(table(spark, d, "memories"), least=0.7)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(neardup.near_duplicates(latest(table(spark, d, "memories"), "content"), "id", "content", least=0.7))
+
+
 def _similar(spark: SparkSession, d: str, least: float) -> DataFrame:
     return neighbours.similar_vectors(table(spark, d, "memory_embeddings"), "memory_id", "embedding", "model", k=5, least=least)
 
@@ -108,5 +116,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_copies, p5_found, p6_found, p6_terms, p7_found, p7_cleaned, p8_found, p8_mix, p8_shares, p9_found, p9_shared]
+    own = [p1_found, p1_ranking, p2_found, p2_pieces, p3_found, p3_copies, p4_found, p4_groups, p5_found, p6_found, p6_terms, p7_found, p7_cleaned, p8_found, p8_mix, p8_shares, p9_found, p9_shared]
     return {f.__name__: f for f in own}
