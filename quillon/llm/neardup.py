@@ -53,19 +53,21 @@ def families(size: int, least: float) -> Iterator[tuple[int, int, int]]:
 class Tokens:
     """Words as 64-bit hashes with their order (rare first) and the part that each falls into."""
 
-    def __init__(self, head: list[str]):
-        self.rank = {xxhash.xxh3_64_intdigest(w): i for i, w in enumerate(head)}  # 0 is most frequent
-        self.keys = np.array(sorted(self.rank), np.uint64)
-        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.uint64)
-
-    def order(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, what decides the part) of each hash."""
+    def __init__(self, head: list[str], shares: list[float] | None = None):
+        """head: words, the most frequent first; shares: the share of the sets that each is in (1 where not given)."""
+        rank = {xxhash.xxh3_64_intdigest(w): i for i, w in enumerate(head)}
+        self.keys = np.array(sorted(rank), np.uint64)
+        self.ranks = np.array([rank[k] for k in self.keys.tolist()], np.uint64)
+        self.shares = np.array(shares if shares is not None else [1.0] * len(head))[self.ranks.astype(np.int64)] if head else np.zeros(0)
+
+    def order(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, what decides the part, share of the sets) of each hash."""
         if not len(self.keys):
-            return h >> np.uint64(1), h
+            return h >> np.uint64(1), mix(h), np.zeros(len(h))
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         known = self.keys[at] == h
         order = np.where(known, np.uint64(1 << 63) + np.uint64(HEAD) - self.ranks[at], h >> np.uint64(1))
-        return order, np.where(known, self.ranks[at], mix(h))
+        return order, np.where(known, self.ranks[at], mix(h)), np.where(known, self.shares[at], 0.0)
 
 
 def sketches(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,48 +79,57 @@ def sketches(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.bitwise_xor.reduceat(first, starts), np.bitwise_xor.reduceat(second, starts)
 
 
-def _subsets(whose: np.ndarray, part: np.ndarray, h: np.ndarray, m: np.ndarray, errors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, key, level) of the anchors of every part of every set.
+#: Two words are an anchor if not more than this share of the sets has both (were they independent); else a third goes with them.
+COMMON = 0.003
+
+
+def _subsets(whose: np.ndarray, part: np.ndarray, h: np.ndarray, share: np.ndarray, m: int, errors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, level, allowed) of the anchors of every part of every set.
 
-    Elements come sorted by set, part and order. If two parts differ by x and y
-    elements, x + y <= t, the two first of their common elements are among the
-    first 2 + x and 2 + y of either part, so both have the key of that pair at
-    levels up to x and y; parts with fewer than two common elements have the
-    key of exactly those, at levels x and y.
+    Elements come sorted by set, part and order. The anchor of two parts is a
+    function of their common elements: the first two, or three where two are
+    common ones, or all if there are fewer. If the parts differ by x and y
+    elements, the k first common ones are among the first k + x and k + y of
+    either, so both parts have that key, at levels of at most x and y.
     """
-    sets, keys, levels = [], [], []
-    n_sets = len(m)
-    base = np.concatenate([[0], np.cumsum(m)])
-    slot = base[whose] + part  # parts of all sets, numbered through
-    count = np.bincount(slot, minlength=base[-1])
-    owner = np.repeat(np.arange(n_sets), m)
-    number = np.arange(base[-1]) - base[owner]
-    allowed = -(-(errors[owner] + 1 - number) // m[owner]) - 1  # errors that this part must stand for at most
+    sets, keys, levels, limits = [], [], [], []
+    owner = np.repeat(np.arange(len(errors)), m)
+    number = np.tile(np.arange(m), len(errors))
+    count = np.bincount(whose * m + part, minlength=len(owner))
+    allowed = -(-(errors[owner] + 1 - number) // m) - 1  # errors that this part must stand for at most
     begin = np.cumsum(count) - count
     salt = mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 1))
 
     def emit(slots: np.ndarray, key: np.ndarray, level: np.ndarray | int) -> None:
-        level = np.broadcast_to(level, slots.shape)
-        keep = level <= allowed[slots]
-        sets.append(owner[slots[keep]])
-        keys.append(mix(key[keep] ^ salt[slots[keep]]))
-        levels.append(level[keep])
-
-    slots = np.arange(base[-1])
-    for second in (1, 2, 3):
-        for first in range(second):
-            ok = slots[(count > second) & (allowed >= second - 1)]
-            emit(ok, mix(h[begin[ok] + first]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[begin[ok] + second], second - 1)
+        sets.append(owner[slots])
+        keys.append(mix(key ^ salt[slots]))
+        levels.append(np.broadcast_to(level, slots.shape))
+        limits.append(allowed[slots])
+
+    slots = np.arange(len(owner))
+    fold = np.uint64(0xC2B2AE3D27D4EB4F)
+    for b in (1, 2, 3):
+        for a in range(b):
+            ok = slots[(count > b) & (allowed >= b - 1)]
+            pair = mix(h[begin[ok] + a]) * fold + h[begin[ok] + b]
+            common = share[begin[ok] + a] * share[begin[ok] + b] > COMMON
+            emit(ok[~common], pair[~common], b - 1)
+            ok, pair = ok[common], pair[common]
+            for c in range(b + 1, 5):
+                more = (count[ok] > c) & (allowed[ok] >= c - 2)
+                emit(ok[more], mix(pair[more]) * fold + h[begin[ok[more]] + c], c - 2)
+            alone = count[ok] - 2 <= allowed[ok]
+            emit(ok[alone], pair[alone] + np.uint64(1), count[ok[alone]] - 2)
     for place in range(3):
         ok = slots[(count > place) & (count - 1 <= allowed)]
         emit(ok, mix(h[begin[ok] + place] + np.uint64(1)), count[ok] - 1)
     ok = slots[(count <= allowed) & (allowed >= 0)]
     emit(ok, np.full(len(ok), 0x51ED270B, np.uint64), count[ok])
-    return np.concatenate(sets), np.concatenate(keys), np.concatenate(levels)
+    return np.concatenate(sets), np.concatenate(keys), np.concatenate(levels), np.concatenate(limits)
 
 
 def anchor_rows(token_sets: list[list[str]], names: np.ndarray, tokens: Tokens, least: float) -> np.ndarray:
-    """Rows of three 64-bit words: key 40 | size 16 | level 8; name 32 | second sketch 32; first sketch."""
+    """Rows of three 64-bit words: key 40 | size 16 | allowed 4 | level 4; name 32 | second sketch 32; first sketch."""
     sizes = np.array([len(s) for s in token_sets], np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):
@@ -127,25 +138,23 @@ def anchor_rows(token_sets: list[list[str]], names: np.ndarray, tokens: Tokens,
     h = _HASHES.of([w for i in full.tolist() for w in token_sets[i]])
     starts = np.cumsum(sizes) - sizes
     s1, s2 = sketches(h, starts)
-    order, deciding = tokens.order(h)
+    order, deciding, share = tokens.order(h)
     whose = np.repeat(np.arange(len(sizes)), sizes)
-    by_family: dict[int, tuple[list[int], int, list[int]]] = {}
+    by_family: dict[int, tuple[dict[int, int], int]] = {}
     for size in np.unique(sizes).tolist():
         for number, parts, errors in families(size, least):
-            by_family.setdefault(number, ([], parts, []))
-            by_family[number][0].append(size)
-            by_family[number][2].append(errors)
+            by_family.setdefault(number, ({}, parts))[0][size] = errors
     out = []
-    for number, (members, parts, errors) in sorted(by_family.items()):
-        of_size = dict(zip(members, errors))
-        chosen = np.isin(sizes, members)
+    for number, (of_size, parts) in sorted(by_family.items()):
+        chosen = np.isin(sizes, list(of_size))
         new = np.cumsum(chosen) - 1
         tok = chosen[whose]
         w, part = new[whose[tok]], (deciding[tok] % np.uint64(parts)).astype(np.int64)
         sort = np.lexsort((order[tok], part, w))
-        who, key, level = _subsets(w[sort], part[sort], h[tok][sort], np.full(chosen.sum(), parts), np.array([of_size[s] for s in sizes[chosen].tolist()]), number)
+        errors = np.array([of_size[s] for s in sizes[chosen].tolist()])
+        who, key, level, allowed = _subsets(w[sort], part[sort], h[tok][sort], share[tok][sort], parts, errors, number)
         at = np.flatnonzero(chosen)[who]
-        first = (key >> np.uint64(24) << np.uint64(24)) | np.minimum(sizes[at], _CAP).astype(np.uint64) << np.uint64(8) | level.astype(np.uint64)
+        first = (key >> np.uint64(24) << np.uint64(24)) | np.minimum(sizes[at], _CAP).astype(np.uint64) << np.uint64(8) | allowed.astype(np.uint64) << np.uint64(4) | level.astype(np.uint64)
         out.append(np.stack([first, names[at] << np.uint64(32) | s2[at], s1[at]]))
     return np.concatenate(out, axis=1).view(np.int64)
 
@@ -153,12 +162,13 @@ def anchor_rows(token_sets: list[list[str]], names: np.ndarray, tokens: Tokens,
 def _meet(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Whether rows x[:, i] and y[:, i] of one key may be of similar sets: size, level and sketch."""
     size_x, size_y = ((z[0] >> np.uint64(8) & np.uint64(_CAP)).astype(np.int64) for z in (x, y))
-    level = (x[0] & np.uint64(255)).astype(np.int64) + (y[0] & np.uint64(255)).astype(np.int64)
+    level = (x[0] & np.uint64(15)) + (y[0] & np.uint64(15))
+    allowed = np.minimum(x[0] >> np.uint64(4) & np.uint64(15), y[0] >> np.uint64(4) & np.uint64(15))
     d = most_different(size_x + size_y, least)
     open_ended = (size_x == _CAP) | (size_y == _CAP)
     apart = np.bitwise_count(x[2] ^ y[2]).astype(np.int64) + np.bitwise_count((x[1] ^ y[1]) & np.uint64(0xFFFFFFFF))
     other = (x[1] >> np.uint64(32)) != (y[1] >> np.uint64(32))
-    return other & (level <= 2) & (open_ended | ((np.minimum(size_x, size_y) >= least * np.maximum(size_x, size_y) - 1e-9) & (apart <= d)))
+    return other & (level <= allowed) & (open_ended | ((np.minimum(size_x, size_y) >= least * np.maximum(size_x, size_y) - 1e-9) & (apart <= d)))
 
 
 #: Runs of fewer rows are compared all at once, place by place; longer ones each as a matrix, so many rows of it at a time.
@@ -168,12 +178,13 @@ _SHORT, _STRIP = 64, 256
 def _crossed(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[np.ndarray]:
     """Pairs of names between the rows x and y of one key (each pair once if they are the same rows), a strip of x at a time."""
     size_x, size_y = ((z[0] >> np.uint64(8) & np.uint64(_CAP)).astype(np.int64) for z in (x, y))
+    first, second = x[2].copy(), y[2].copy()
     for at in range(0, x.shape[1], _STRIP):
         strip = slice(at, min(at + _STRIP, x.shape[1]))
         behind = at if same else 0
         d = most_different(size_x[strip] + size_y.max(), least)
         d = np.where((size_x[strip] == _CAP) | (size_y.max() == _CAP), 64, np.minimum(d, 64)).astype(np.uint8)
-        i, j = np.nonzero(np.bitwise_count(x[2, strip, None] ^ y[2, None, behind:]) <= d[:, None])
+        i, j = np.nonzero(np.bitwise_count(first[strip, None] ^ second[None, behind:]) <= d[:, None])
         i, j = i + at, j + behind
         if same:
             i, j = i[i < j], j[i < j]
@@ -187,24 +198,44 @@ def _pairs(found: list[np.ndarray]) -> np.ndarray:
     return np.stack([once >> np.uint64(32), once & np.uint64(0xFFFFFFFF)])
 
 
+def _run(run: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of one run: rows at level 0 with all, rows at level 1 with each other where two errors are allowed."""
+    size, level = run[0] >> np.uint64(8) & np.uint64(_CAP), run[0] & np.uint64(15)
+    run = run[:, np.lexsort((size, level))]
+    level, allowed = run[0] & np.uint64(15), run[0] >> np.uint64(4) & np.uint64(15)
+    n = int(np.searchsorted(level, 1))
+    if n:
+        yield from _crossed(run[:, :n], run[:, :n], least, True)
+        if n < run.shape[1]:
+            yield from _crossed(run[:, :n], run[:, n:], least, False)
+    once = run[:, (level == 1) & (allowed >= 2)]
+    if once.shape[1]:
+        yield from _crossed(once, once, least, True)
+
+
 def within(rows: np.ndarray, least: float) -> np.ndarray:
     """Pairs of names (2 x n) among rows sorted by key."""
     key, found = rows[0] >> np.uint64(24), []
     first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
     length = np.diff(np.append(first, len(key)))
     for a, n in zip(first[length >= _SHORT].tolist(), length[length >= _SHORT].tolist()):
-        run = rows[:, a : a + n]
-        run = run[:, np.argsort(run[0] >> np.uint64(8) & np.uint64(_CAP), kind="stable")]
-        found.extend(_crossed(run, run, least, True))
-    short = rows[:, np.repeat(length < _SHORT, length)]
+        found.extend(_run(rows[:, a : a + n], least))
+    short = rows[:, np.repeat((length > 1) & (length < _SHORT), length)]
     key, at, step = short[0] >> np.uint64(24), np.arange(short.shape[1]), 1
+    level, allowed = short[0] & np.uint64(15), short[0] >> np.uint64(4) & np.uint64(15)
+    # a first limit for all: the largest difference that the set of the row may have
+    limit = np.minimum(most_different(np.floor((short[0] >> np.uint64(8) & np.uint64(_CAP)) * (1 + 1 / least)), least), 64).astype(np.uint8)
+    limit[(short[0] >> np.uint64(8) & np.uint64(_CAP)) == _CAP] = 64
     while True:
         at = at[at + step < short.shape[1]]
         at = at[key[at + step] == key[at]]
         if not len(at):
             return _pairs(found)
-        i = at[_meet(short[:, at], short[:, at + step], least)]
-        found.append(short[1, np.stack([i, i + step])] >> np.uint64(32))
+        i = at[np.bitwise_count(short[2, at] ^ short[2, at + step]) <= limit[at]]
+        i = i[level[i] + level[i + step] <= np.minimum(allowed[i], allowed[i + step])]
+        if len(i):
+            i = i[_meet(short[:, i], short[:, i + step], least)]
+            found.append(short[1, np.stack([i, i + step])] >> np.uint64(32))
         step += 1
 
 
@@ -368,9 +399,10 @@ class NearDuplicates:
         sets = self.members.groupBy("words").agg(F.min("id").alias("id"))
         # a text for each distinct set of words; the copies end here
         texts = own.join(sets, "id")
-        counts = texts.select("t").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-        head = [r["word"] for r in counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
-        shared = own.sparkSession.sparkContext.broadcast(Tokens(head))  # HEAD words at most
+        counts = own.select("t").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        head = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
+        n = max(1, self.members.count())
+        shared = own.sparkSession.sparkContext.broadcast(Tokens([r["word"] for r in head], [r["c"] / n for r in head]))  # HEAD words at most
         rows = texts.select("t", "words").mapInArrow(_rows(shared, least), "r0 long, r1 long, r2 long")
         found = candidate_pairs(rows, least, run)
         # names are the first bytes of a set's key: where two sets share one, both are looked at
