@@ -393,7 +393,8 @@ class NearDuplicates:
     """
 
     def __init__(self, items: DataFrame, key: str, text: str, least: float = 0.8, run: int = RUN):
-        own = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"))
+        # read four times, so it is kept: in memory or on the executors' disks, made again where an executor is lost
+        own = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).persist()
         keyed = durable(own.mapInArrow(_keys, "id string, seq binary, rec binary, words binary"))
         self.members = durable(classes_of(keyed, "words").where("words IS NOT NULL"))
         sets = self.members.groupBy("words").agg(F.min("id").alias("id"))
