@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Rows of one block of a cell; two blocks make a tile.
-BLOCK = 4096
+BLOCK = 8192
+#: Rows of a tile multiplied at once.
+_STRIP = 1024
 
 
 def usable(vectors: DataFrame, key: str, vector: str, model: str) -> DataFrame:
@@ -54,16 +56,21 @@ def tile(a: tuple, b: tuple, least: float, k: int, same: bool) -> tuple[np.ndarr
     lies below ``least`` or below the k-th best lower bound of both its rows.
     """
     (ca, sa, ea), (cb, sb, eb) = a, b
-    near = (ca * sa[:, None]) @ (cb * sb[:, None]).T
-    if same:
-        near[np.tril_indices(len(near))] = -4.0
-    i, j = np.nonzero(near >= least - (ea.max() + eb.max() + ea.max() * eb.max() + _ROUNDING))
+    left, right = ca * sa[:, None], (cb * sb[:, None]).T
+    floor = least - (ea.max() + eb.max() + ea.max() * eb.max() + _ROUNDING)
+    parts = []
+    for at in range(0, len(left), _STRIP):
+        behind = at if same else 0  # of a block with itself only the upper half is needed
+        near = left[at : at + _STRIP] @ right[:, behind:]
+        i, j = np.nonzero(near >= floor)
+        mid = near[i, j]
+        i, j = i + at, j + behind
+        slack = ea[i] + eb[j] + ea[i] * eb[j] + _ROUNDING
+        keep = (mid + slack >= least) & ((i < j) | (not same))
+        parts.append((i[keep], j[keep], mid[keep], slack[keep]))
+    i, j, mid, slack = (np.concatenate(x) for x in zip(*parts))
     if not len(i):
         return i, j
-    slack = ea[i] + eb[j] + ea[i] * eb[j] + _ROUNDING
-    mid = near[i, j]
-    keep = mid + slack >= least
-    i, j, mid, slack = i[keep], j[keep], mid[keep], slack[keep]
     lower, upper = mid - slack, mid + slack
     # the k-th best lower bound of each row, over the pairs of the tile that it is in
     ends = np.concatenate([i, j if same else j + len(ca)])
@@ -77,7 +84,7 @@ def tile(a: tuple, b: tuple, least: float, k: int, same: bool) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-_ROUTED = "kind string, cell int, id string, codes binary, scale float, error float"
+_ROUTED = "kind string, cell int, h long, codes binary, scale float, error float"
 
 
 def _route(shared, probes: int):
@@ -98,7 +105,7 @@ def _route(shared, probes: int):
                 blobs = pa.array([raw[i : i + x.shape[1]] for i in range(0, len(raw), x.shape[1])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([kind] * len(who)), pa.array(cells.astype(np.int32)), ids.take(pa.array(at)).take(who), blobs.take(who), pa.array(scale).take(who), pa.array(error).take(who)],
-                    names=["kind", "cell", "id", "codes", "scale", "error"],
+                    names=["kind", "cell", "h", "codes", "scale", "error"],
                 )
 
     return run
@@ -110,37 +117,57 @@ def _tiles(k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side = table.column("block").to_numpy()
-        ids = table.column("id").combine_chunks()
-        kind = table.column("kind")[0].as_py()
+        ids = table.column("h").to_numpy()
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(side), -1).astype(np.float32)
         scale, error = table.column("scale").to_numpy(), table.column("error").to_numpy()
         blocks = np.unique(side)
         rows = [np.flatnonzero(side == b) for b in blocks]
         part = [(codes[r], scale[r], error[r]) for r in rows]
         i, j = tile(part[0], part[-1], least, k, same=len(blocks) == 1)
-        a, b = ids.take(pa.array(rows[0][i])), ids.take(pa.array(rows[-1][j]))
-        return pa.table({"kind": pa.array([kind] * len(i), pa.string()), "a": a.cast(pa.string()), "b": b.cast(pa.string())})
+        a, b = ids[rows[0][i]], ids[rows[-1][j]]
+        return pa.table({"t": pa.array(np.full(len(a), table.column("t")[0].as_py(), np.int64)), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return run
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, va, vb) to (a, b, cosine), from the floats."""
-    for batch in batches:
-        va, vb = batch.column(2), batch.column(3)
-        sizes = np.array([len(x) for x in va.to_pylist()])
-        out = np.zeros(len(va))
-        for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
-            x, y = (np.array(c.take(pa.array(at)).to_pylist(), np.float64) for c in (va, vb))
-            out[at] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "cosine"])
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cosines(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+    """Pairs (a, b) of one tile and the vectors (h, id, kind, v) they need, to (a, b, cosine) by id, from the floats.
+
+    Where two ids share a hash, the pair stands for each of them.
+    """
+    rows = rows.combine_chunks()
+    order = np.argsort(rows.column("h").to_numpy(), kind="stable")
+    rows = rows.take(pa.array(order))
+    h, a, b = rows.column("h").to_numpy(), pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    i, j = np.searchsorted(h, a), np.searchsorted(h, b)
+    ni, nj = np.searchsorted(h, a, side="right") - i, np.searchsorted(h, b, side="right") - j
+    if (ni * nj > 1).any():
+        both = [(x, y) for x0, y0, n, m in zip(i, j, ni, nj) for x in range(x0, x0 + n) for y in range(y0, y0 + m)]
+        i, j = np.array(both, np.int64).reshape(-1, 2).T
+    kinds = np.array(rows.column("kind").to_pylist(), object)
+    same = kinds[i] == kinds[j] if len(i) else np.zeros(0, bool)
+    i, j = i[same], j[same]
+    vectors, ids, out = rows.column("v").combine_chunks(), rows.column("id").combine_chunks(), np.zeros(len(i))
+    sizes = vectors.value_lengths().to_numpy()
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = _matrix(vectors.take(pa.array(at)))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        place = np.full(len(sizes), -1)
+        place[at] = np.arange(len(at))
+        k = np.flatnonzero(sizes[i] == size)
+        out[k] = np.einsum("ij,ij->i", x[place[i[k]]], x[place[j[k]]])
+    return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "cosine": pa.array(out)})
 
 
 def _pivots(own: DataFrame, most_cells: int) -> dict[str, np.ndarray]:
-    """For each kind about as many pivots as the square root of its vectors, most_cells at most: the vectors of the smallest hashes."""
+    """For each kind about half as many pivots as the square root of its vectors, most_cells at most: the vectors of the smallest hashes."""
     counts = {r["kind"]: r["n"] for r in own.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row a kind
-    most = {kind: max(1, min(most_cells, int(n**0.5))) if n >= 1024 else 1 for kind, n in counts.items()}
+    most = {kind: max(1, min(most_cells, int(n**0.5 / 2))) if n >= 1024 else 1 for kind, n in counts.items()}
     if not most:
         return {}
     # a fixed share of the hash space holds twice the pivots wanted, so the sort is of that share alone
@@ -157,13 +184,18 @@ def _pivots(own: DataFrame, most_cells: int) -> dict[str, np.ndarray]:
     return {kind: _unit(pa.array(rows, pa.list_(pa.float32()))) for kind, rows in by.items()}
 
 
-def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: int = 5, least: float = 0.5, probes: int = 6, most_cells: int = 4096, block: int = BLOCK) -> DataFrame:
+def _h(*columns: str) -> F.Column:
+    return F.xxhash64(*columns)
+
+
+def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: int = 5, least: float = 0.5, probes: int = 4, most_cells: int = 4096, block: int = BLOCK) -> DataFrame:
     """For every vector its k most similar others of the same model and length, of cosine ``least`` or more.
 
     Returns id, other, cosine, position (1 is most similar; ties by id). Every
     vector is searched for and searched. Each goes into the cells of its
-    ``probes`` nearest pivots; pivots are a sample of the vectors, the square
-    root of their number, ``most_cells`` at most, and are all that is broadcast.
+    ``probes`` nearest pivots; pivots are a sample of the vectors, half the
+    square root of their number, ``most_cells`` at most, and are all that is
+    broadcast.
     The vectors of a cell are compared in tiles of two blocks, by products of
     int8 codes with error bounds; pairs that may still be among the k best are
     recomputed in float and merged. Two vectors meet if they share a cell; in a
@@ -191,16 +223,20 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: in
     active = own.join(passive.select("id", "kind"), ["id", "kind"], "left_anti")
 
     shared = spark.sparkContext.broadcast(_pivots(own, most_cells))
-    routed = active.select("id", "kind", "v").mapInArrow(_route(shared, probes), _ROUTED)
+    # in the tiles a vector goes by the hash of its id: where two ids share one, both are looked at afterwards
+    routed = active.select(_h("id", "kind").alias("h"), "kind", "v").mapInArrow(_route(shared, probes), _ROUTED)
     sizes = routed.groupBy("kind", "cell").agg(F.count("*").alias("c"))
     # most_cells rows a kind; cells are cut into blocks by a hash of the id, and a row goes to every tile of its block
-    cut = routed.join(F.broadcast(sizes), ["kind", "cell"]).withColumn("m", F.ceil(F.col("c") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("m")).cast("int"))
+    cut = routed.join(F.broadcast(sizes), ["kind", "cell"]).withColumn("m", F.ceil(F.col("c") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("m")).cast("int"))
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"))))
-    met = cut.select("kind", "cell", "block", "id", "codes", "scale", "error", tiles.alias("t")).select("kind", "cell", F.col("t.p").alias("p"), F.col("t.q").alias("q"), "block", "id", "codes", "scale", "error")
-    found = met.groupBy("kind", "cell", "p", "q").applyInArrow(_tiles(k, least), "kind string, a string, b string")
-    pairs = found.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    floats = pairs.join(own.select(F.col("id").alias("a"), "kind", F.col("v").alias("va")), ["a", "kind"]).join(own.select(F.col("id").alias("b"), "kind", F.col("v").alias("vb")), ["b", "kind"])
-    exact = floats.select("a", "b", "va", "vb").mapInArrow(_cosines, "a string, b string, cosine double").where(F.col("cosine") >= least)
+    met = cut.select(tiles.alias("t"), "kind", "cell", "block", "h", "codes", "scale", "error").select(F.xxhash64("kind", "cell", "t.p", "t.q").alias("t"), "block", "h", "codes", "scale", "error")
+    found = met.groupBy("t").applyInArrow(_tiles(k, least), "t long, a long, b long")
+    # each pair is computed in one of its tiles, so a vector travels once for each tile that needs it and not for each pair
+    pairs = found.groupBy("a", "b").agg(F.min("t").alias("t"))
+    need = pairs.select("t", F.explode(F.array("a", "b")).alias("h")).distinct()
+    names = own.select("id", "kind", _h("id", "kind").alias("h"))
+    floats = need.join(names, "h").join(own, ["id", "kind"]).select(F.col("t").alias("u"), "h", "id", "kind", "v")
+    exact = pairs.groupBy("t").cogroup(floats.groupBy("u")).applyInArrow(_cosines, "a string, b string, cosine double").where(F.col("cosine") >= least)
     ends = exact.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "cosine").select("e.id", "e.other", "cosine")
     order = W.partitionBy("id").orderBy(F.round("cosine", 9).desc(), "other")  # few rows an id: k from each of its tiles
     return ends.unionByName(tied).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
