@@ -178,6 +178,7 @@ def split_oversized(chunks: DataFrame, configs: DataFrame) -> DataFrame:
         .withColumn("_all", F.lit(1))
         .join(rest, "_all", "left")
         .withColumn("_c", F.coalesce("_own", "_rest"))
+        .where("_c IS NOT NULL")
         .where(non_whitespace("text") > F.greatest(F.lit(1), F.col("_c.max_chunk_size")))
         .select("chunk_id", "text", F.greatest(F.lit(1), F.col("_c.max_chunk_size")).alias("most"), F.coalesce(F.col("_c.overlap_lines"), F.lit(0)).alias("overlap"), "line_start")
         .distinct()

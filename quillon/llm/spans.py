@@ -209,5 +209,5 @@ def shared_share(documents: DataFrame, spans: DataFrame) -> DataFrame:
     before = W.partitionBy("doc_id").orderBy("b", "e").rowsBetween(W.unboundedPreceding, -1)
     fresh = each.withColumn("until", F.coalesce(F.max("e").over(before), F.lit(0))).select("doc_id", F.greatest(F.lit(0), F.col("e") - F.greatest("b", "until")).alias("n"))
     covered = fresh.groupBy("doc_id").agg(F.sum("n").alias("shared_chars"))
-    sizes = documents.select("doc_id", F.length("text").alias("n_chars"))
+    sizes = documents.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
     return sizes.join(covered, "doc_id").select("doc_id", "n_chars", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("share"))
