@@ -22,6 +22,9 @@ from ..functions.lineage import durable
 #: Edges up to which a graph may be held whole by a kernel (24 bytes each).
 KERNEL_EDGES = 5_000_000
 
+#: Groups up to which their sums are broadcast.
+BROADCAST_GROUPS = 100_000
+
 HERITAGE = ("EXTENDS", "IMPLEMENTS", "INHERITS")
 
 
@@ -118,25 +121,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     seeds (id) make it personalised: teleport and dangling mass go to them.
     by: a column of nodes (namespace) whose values are ranked each by itself,
     over edges that stay inside. Edges with an end that is no node are ignored.
-    Stops when the ranks move by less than ``tolerance`` in all (L1).
+    Stops when the ranks move by less than ``tolerance`` in all (L1), which is
+    looked at every third round.
     """
     group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
     own = nodes.groupBy("id").agg(F.min(group).alias("g"))
     own = own.join(seeds.select("id").distinct().withColumn("s", F.lit(1.0)), "id", "left").fillna(0.0, ["s"]) if seeds is not None else own.withColumn("s", F.lit(1.0))
-    sums = own.groupBy("g").agg(F.sum("s").alias("total"))
-    own = durable(own.join(sums, "g").where("total > 0").select("id", "g", (F.col("s") / F.col("total")).alias("t")))
+    own = durable(own)
+    # all nodes may be of one group: its sums are broadcast, unless there are very many groups
+    few = F.broadcast if not by or own.select("g").distinct().count() <= BROADCAST_GROUPS else lambda df: df
+    sums = few(own.groupBy("g").agg(F.sum("s").alias("total")))
     ends = edges.select("src", "dst").join(own.select(F.col("id").alias("src"), F.col("g").alias("gs")), "src").join(own.select(F.col("id").alias("dst"), F.col("g").alias("gd")), "dst").where("gs = gd").groupBy("src", "dst").agg(F.count("*").alias("c"))
+    ends = durable(ends)
     out = ends.groupBy("src").agg(F.sum("c").alias("out"))
     steps = durable(ends.join(out, "src").select("src", "dst", (F.col("c") / F.col("out")).alias("w")))
-    dangling = durable(own.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
-    rank = own.select("id", "g", "t", F.col("t").alias("r"))
+    rank = own.join(sums, "g").where("total > 0").join(out.select(F.col("src").alias("id"), F.lit(False).alias("d")), "id", "left")
+    rank = durable(rank.select("id", "g", (F.col("s") / F.col("total")).alias("t"), F.coalesce("d", F.lit(True)).alias("dangling"))).withColumn("r", F.col("t"))
     for i in range(rounds):
         flow = rank.select(F.col("id").alias("src"), "r").join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("f"))
-        lost = rank.join(dangling, "id", "left_semi").groupBy("g").agg(F.sum("r").alias("lost"))  # a row a group
-        new = rank.join(flow, "id", "left").join(lost, "g", "left").select("id", "g", "t", F.col("r").alias("before"), ((1 - damping) * F.col("t") + damping * (F.coalesce("f", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("t"))).alias("r"))
-        if i % 5 == 4 or i == rounds - 1:
+        lost = few(rank.where("dangling").groupBy("g").agg(F.sum("r").alias("lost")))
+        new = rank.join(flow, "id", "left").join(lost, "g", "left").select("id", "g", "t", "dangling", F.col("r").alias("before"), ((1 - damping) * F.col("t") + damping * (F.coalesce("f", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("t"))).alias("r"))
+        if i % 3 == 2 or i == rounds - 1:
             new = durable(new)
-            moved = new.groupBy("g").agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("m")).agg(F.max("m")).first()[0]
+            moved = new.agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("m")).first()[0]
             if moved is None or moved < tolerance:
                 rank = new
                 break

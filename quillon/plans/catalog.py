@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import embedding as E
 from ..functions import scalars as S
 from ..operators import analytics as A
 from ..operators import consolidate as C
 from ..operators import enrich as N
 from ..operators import graph as G
+from ..operators import jobs as J
 from ..operators import linking as L
 from ..operators import records as R
 from ..operators import review as V
@@ -936,6 +938,119 @@ def _(s: Store) -> DataFrame:
     return L.merge_small(c.withColumn("size", S.non_whitespace("text")), 200, 1500).select("file_path", "first_index", "last_index", "size")
 
 
+# ---- composed operators ------------------------------------------------------------------------
+
+
+@query("c03_active_edges", f"SELECT DISTINCT id, relationship FROM edg WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{NOW}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{NOW}')")
+def _(s: Store) -> DataFrame:
+    return J.active_edges(s.edges("relationship", "valid_from", "valid_to"), NOW).select("id", "relationship").distinct()
+
+
+@query(
+    "h07_search_code",
+    f"""WITH {_UNIT}, q AS (SELECT * FROM e WHERE memory_id LIKE '%00'),
+s AS (SELECT q.memory_id AS query_id, e.memory_id AS id, CASE WHEN q.n * e.n < 1e-12 THEN 0.0 ELSE list_inner_product(CAST(q.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) / (q.n * e.n) END AS score FROM q JOIN e ON e.d = q.d WHERE e.memory_id <> q.memory_id AND e.memory_id LIKE 'chunk:%')
+SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5""",
+)
+def _(s: Store) -> DataFrame:
+    return J.search_code(s.embeddings(), _probe(s), 5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("h08_hybrid_code")
+def _(s: Store) -> DataFrame:
+    semantic = J.search_code(s.embeddings(), _probe(s), 5)
+    text = s.nodes("kind", "label").where("kind = 'function'").orderBy("id").limit(5).select("id", F.monotonically_increasing_id().cast("int").alias("position"))
+    return J.hybrid_code(semantic, semantic.select("query_id").distinct().crossJoin(F.broadcast(text)), 8)
+
+
+@query("k18_traverse_at", f"WITH RECURSIVE v AS (SELECT src, dst FROM edg WHERE {_VALID.format(BEFORE)}), b AS (SELECT src AS id, 0 AS depth FROM {_HUB} UNION SELECT x.b, depth + 1 FROM b JOIN (SELECT src AS a, dst AS b FROM v UNION SELECT dst, src FROM v) AS x ON x.a = b.id WHERE depth < 2) SELECT id, min(depth) AS depth FROM b WHERE id IN (SELECT id FROM nod WHERE {_VALID.format(BEFORE)}) GROUP BY 1")
+def _(s: Store) -> DataFrame:
+    return J.traverse_at(s.nodes("valid_from", "valid_to"), s.edges("src", "dst", "valid_from", "valid_to"), _hub(s), 2, BEFORE)
+
+
+@query("k23_symbol_graph", f"WITH h AS {_HUB} SELECT e.id, e.src, e.dst, relationship, 'out' AS way FROM (SELECT DISTINCT id, src, dst, relationship FROM edg ) AS e JOIN h ON e.src = h.src UNION ALL SELECT e.id, e.src, e.dst, relationship, 'in' FROM (SELECT DISTINCT id, src, dst, relationship FROM edg ) AS e JOIN h ON e.dst = h.src")
+def _(s: Store) -> DataFrame:
+    return J.symbol_graph(s.edges("src", "dst", "relationship"), _hub(s))
+
+
+@query("k24_impact_subgraph", f"WITH RECURSIVE b AS (SELECT src AS id, 0 AS depth FROM {_HUB} UNION SELECT x.b, depth + 1 FROM b JOIN (SELECT src AS a, dst AS b FROM edg UNION SELECT dst, src FROM edg ) AS x ON x.a = b.id WHERE depth < 2) SELECT DISTINCT id, src, dst FROM edg WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b)")
+def _(s: Store) -> DataFrame:
+    return J.impact_subgraph(s.edges("src", "dst"), _hub(s), 2).select("id", "src", "dst")
+
+
+@query("k04_shortest_path")
+def _(s: Store) -> DataFrame:
+    e = s.edges("src", "dst", "relationship").where("relationship = 'CALLS'")
+    ends = e.agg(F.min("src"), F.max("dst")).first()
+    return G.shortest_path(e, ends[0] or "", ends[1] or "")
+
+
+@query("d02_cross_namespace_edges", 'WITH n AS (SELECT DISTINCT id, namespace FROM nod ) SELECT e.id FROM (SELECT DISTINCT id, src, dst FROM edg ) AS e JOIN n AS a ON a.id = e.src JOIN n AS b ON b.id = e.dst WHERE a.namespace IS DISTINCT FROM b.namespace')
+def _(s: Store) -> DataFrame:
+    return R.namespace_edges(s.nodes("namespace"), s.edges("src", "dst")).where("cross").select("id")
+
+
+@query("e18_session_count", "SELECT namespace, count(*) AS n FROM ses GROUP BY 1")
+def _(s: Store) -> DataFrame:
+    return s.sessions("namespace").groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query("e02_last_runs", "SELECT namespace AS cycle_type, started_at AS run_at FROM ses WHERE namespace IS NOT NULL QUALIFY rank() OVER (PARTITION BY namespace ORDER BY started_at DESC) = 1")
+def _(s: Store) -> DataFrame:
+    log = s.sessions("namespace", "started_at").where("namespace IS NOT NULL").select(F.col("namespace").alias("cycle_type"), F.col("started_at").alias("run_at"))
+    return A.last_runs(log)
+
+
+@query("b05_delete_expired", f"SELECT id FROM mem WHERE NOT (expires_at IS NOT NULL AND expires_at <= TIMESTAMP '{NOW}')")
+def _(s: Store) -> DataFrame:
+    return s.memories("expires_at").where(S.not_expired(S.ts(NOW))).select("id")
+
+
+@query("b21_delete_namespace", "WITH gone AS (SELECT id FROM mem WHERE namespace = 'orbit-core') SELECT id FROM mem WHERE id NOT IN (SELECT id FROM gone)")
+def _(s: Store) -> DataFrame:
+    m = s.memories("namespace")
+    return R.delete_cascade(m.where("namespace = 'orbit-core'"), m, s.embeddings(), s.nodes("memory_id"), s.edges("src", "dst"))["memories"].select("id")
+
+
+@query("b27_backfill_embeddings", "SELECT id AS memory_id, 64 AS dims FROM mem WHERE content IS NOT NULL AND id NOT IN (SELECT memory_id FROM emb WHERE memory_id IS NOT NULL)")
+def _(s: Store) -> DataFrame:
+    return E.backfill(s.memories("content"), s.embeddings(), E.hashed_words(64), "hashed-64").select("memory_id", F.size("embedding").alias("dims"))
+
+
+@query("o06_forget", "WITH gone AS (SELECT id FROM mem WHERE importance < 0.1 AND coalesce(access_count, 0) <= 0), dead AS (SELECT n.id FROM nod AS n JOIN gone ON n.memory_id = gone.id UNION SELECT id FROM gone) SELECT DISTINCT id FROM edg WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead)")
+def _(s: Store) -> DataFrame:
+    return J.forget(s.memories("importance", "access_count"), s.embeddings(), s.nodes("memory_id"), s.edges("src", "dst"))["graph_edges"].select("id")
+
+
+@query("o08_consolidate")
+def _(s: Store) -> DataFrame:
+    m = s.memories("content", "importance", "access_count", "last_accessed_at", "memory_type", "namespace")
+    out = J.consolidate(m, s.embeddings(), s.nodes("kind"), s.edges("src", "dst", "relationship"), _probe(s), NOW)
+    return out["clusters"].select("id", "component").union(out["forgotten"].select("id", F.lit("forgotten")))
+
+
+@query("p_start_context")
+def _(s: Store) -> DataFrame:
+    return J.start_context(s.memories("importance", "expires_at", "namespace"), s.sessions(), s.activity(), NOW)
+
+
+@query("f04_top_per_file")
+def _(s: Store) -> DataFrame:
+    c = s.chunks("file_path", "text").where("text IS NOT NULL").withColumn("score", F.least(F.lit(1.0), S.non_whitespace("text") / 1000.0))
+    return N.per_file_top(c, "file_path", "score", "id", 0.2, 3).select("file_path", "id")
+
+
+@query("l03_compact_bots")
+def _(s: Store) -> DataFrame:
+    return T.compact_bots(_commits(s).withColumn("author", F.concat("author", F.lit("-bot"))))
+
+
+@query("g02_files_between", f"WITH a AS (SELECT id FROM nod WHERE kind = 'file' AND {_VALID.format(BEFORE)}), b AS (SELECT id FROM nod WHERE kind = 'file' AND {_VALID.format(NOW)}) SELECT id, 'added' AS what FROM (SELECT id FROM b EXCEPT SELECT id FROM a) UNION ALL SELECT id, 'removed' FROM (SELECT id FROM a EXCEPT SELECT id FROM b)")
+def _(s: Store) -> DataFrame:
+    d = T.drift(s.nodes("kind", "valid_from", "valid_to"), s.edges("src", "dst", "valid_from"), BEFORE, NOW)
+    return d.where("what IN ('added', 'removed')").select(F.col("subject").alias("id"), "what")
+
+
 # ---- the star schema: plain SQL over registered views ---------------------------------------
 
 
