@@ -64,10 +64,10 @@ def capped_bursts(events: DataFrame, pause_seconds: int = 5, cap: int = 50) -> D
 TRIGGERS = "session_id string, trigger string, subject string"
 
 
-def session_triggers(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def session_triggers(events: DataFrame, idle_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
     """(session_id, trigger, subject), each once a session: three reads in a folder, an edit of a file read before, a failed Bash call after another, a search made twice.
 
-    events (session_id, tool_name, file_path, directory, pattern, failed, ts). State: counters of the session, dropped after ``idle_ms``.
+    events (session_id, tool_name, file_path, directory, pattern, failed, ts). State: counters of the session, dropped after ``idle_ms`` of event time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,7 +77,8 @@ def session_triggers(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         import json
 
         seen = json.loads(state.get[0]) if state.exists else {"dirs": {}, "read": [], "searches": {}, "errors": 0, "fired": []}
-        out = []
+        out: list[tuple] = []
+        last = 0
 
         def fire(trigger: str, subject: str) -> None:
             tag = f"{trigger}:{subject}"
@@ -86,6 +87,7 @@ def session_triggers(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                 out.append((key[0], trigger, subject))
 
         for b in batches:
+            last = max(last, int(b["ts"].max().timestamp() * 1000))
             for r in b.sort_values("ts").itertuples(index=False):
                 if r.tool_name == "Read":
                     if r.file_path and r.file_path not in seen["read"]:
@@ -105,10 +107,12 @@ def session_triggers(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                     if seen["errors"] >= 2:
                         fire("debugging", "Bash")
         state.update((json.dumps(seen),))
-        state.setTimeoutDuration(idle_ms)
+        last = max(last, state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "trigger", "subject"])
 
-    return events.groupBy("session_id").applyInPandasWithState(step, TRIGGERS, "seen string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = events.withWatermark("ts", delay)
+    return own.groupBy("session_id").applyInPandasWithState(step, TRIGGERS, "seen string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_stream(stream: DataFrame, table: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
