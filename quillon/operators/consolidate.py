@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scalars as S
+from ..functions.lineage import durable
 from .graph import components
 from .records import tag_siblings
-from .vectors import cosine, nearest
+from .vectors import nearest
 
 
 def decayed(memories: DataFrame, now: str | Column, idle_days: int = 30) -> DataFrame:
@@ -48,7 +51,7 @@ def clusters(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     own = memories.select("id", F.coalesce("namespace", F.lit("")).alias("ns"), S.memory_type().alias("kind"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
     a, b = own.select(F.col("id").alias("src"), F.col("ns").alias("na"), F.col("kind").alias("ka")), own.select(F.col("id").alias("dst"), F.col("ns").alias("nb"), F.col("kind").alias("kb"))
-    same = pairs.join(a, "src").join(b, "dst").where((F.col("na") == F.col("nb")) & F.col("ka").eqNullSafe(F.col("kb"))).select("src", "dst")
+    same = durable(pairs.join(a, "src").join(b, "dst").where((F.col("na") == F.col("nb")) & F.col("ka").eqNullSafe(F.col("kb"))).select("src", "dst"))  # read twice
     ids = same.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     comp = components(ids, same)
     tier = F.when(F.col("kind").isin("decision", "insight", "pattern"), 0).otherwise(1)
@@ -57,11 +60,54 @@ def clusters(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.join(win, "component").select("id", "component", (F.col("id") == F.col("winner")).alias("keep"))
 
 
-def close_pairs(embeddings: DataFrame, blocks: DataFrame, least: float = 0.92) -> DataFrame:
-    """(src, dst, cosine): pairs of vectors of one block (memory_id, block) with a cosine of ``least``; blocks are small by construction (namespace and kind and hash)."""
-    own = embeddings.where("embedding IS NOT NULL").join(blocks, "memory_id").select("memory_id", "block", "embedding")
-    a, b = own.select(F.col("memory_id").alias("src"), "block", F.col("embedding").alias("va")), own.select(F.col("memory_id").alias("dst"), "block", F.col("embedding").alias("vb"))
-    return a.join(b, "block").where("src < dst").withColumn("cosine", cosine(F.col("va"), F.col("vb"))).where(F.col("cosine") >= least).select("src", "dst", "cosine")
+#: Vectors of a block that a tile holds from each side.
+TILE = 2048
+
+
+def _tile_pairs(least: float):
+    """Pairs of one tile: the vectors of part i against those of part j of the same block."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        ids = np.array(tile.column("memory_id").to_pylist(), object)
+        part, i, j = tile.column("part").to_numpy(), tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        x = tile.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found = []
+        for lo in range(0, len(a), 512):
+            s = x[a[lo : lo + 512]] @ x[b].T
+            r, c = np.nonzero(s >= least)
+            p, q = ids[a[lo + r]], ids[b[c]]
+            own = p < q if i == j else p != q  # inside a part each pair occurs both ways
+            p, q = p[own], q[own]
+            found.append(pa.table({"src": pa.array(np.where(p < q, p, q), pa.string()), "dst": pa.array(np.where(p < q, q, p), pa.string()), "cosine": pa.array(s[r, c][own], pa.float64())}))
+        return pa.concat_tables(found) if found else pa.table({"src": pa.array([], pa.string()), "dst": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+
+    return run
+
+
+def close_pairs(embeddings: DataFrame, blocks: DataFrame, least: float = 0.92, per_tile: int = TILE) -> DataFrame:
+    """(src, dst, cosine): all pairs of vectors of one block (memory_id, block) with a cosine of ``least``, exact; of several vectors of an id the nearest count.
+
+    A block of any size is cut into parts of about ``per_tile`` vectors by the
+    hash of the id; each pair of parts is a tile and a task of its own.
+    Vectors of other length are no pair.
+    """
+    usable = embeddings.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("memory_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    own = usable.join(blocks.select("memory_id", "block").where("block IS NOT NULL").distinct(), "memory_id").withColumn("d", F.size("embedding"))
+    parts = own.groupBy("block", "d").agg(F.ceil(F.count("*") / per_tile).cast("int").alias("parts"))
+    cut = own.join(parts, ["block", "d"]).withColumn("part", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
+    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select("block", "d", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "memory_id", "embedding")
+    pairs = tiles.groupBy("block", "d", "i", "j").applyInArrow(_tile_pairs(least), "src string, dst string, cosine double")
+    return pairs.groupBy("src", "dst").agg(F.max("cosine").alias("cosine"))
+
+
+def near_duplicates(memories: DataFrame, embeddings: DataFrame, least: float = 0.92) -> DataFrame:
+    """(src, dst, cosine): close pairs of the memories of each namespace and kind, whatever edges there are."""
+    blocks = memories.select(F.col("id").alias("memory_id"), F.to_json(F.struct(F.coalesce("namespace", F.lit("")).alias("n"), S.memory_type().alias("k"))).alias("block"))
+    return close_pairs(embeddings, blocks, least)
 
 
 def summaries(comp: DataFrame, memories: DataFrame, least: int = 5, writer=None) -> DataFrame:

@@ -83,8 +83,7 @@ def consolidate(memories: DataFrame, embeddings: DataFrame, nodes: DataFrame, ed
 
     kept = update_importance(memories, C.decayed(memories, now))
     themes = C.themes(kept, embeddings, edges, queries)
-    pairs = themes.where(F.col("weight") >= 0.92).select("src", "dst")
-    clusters = C.clusters(kept, pairs)
+    clusters = C.clusters(kept, C.near_duplicates(kept, embeddings))
     lost = forgettable(kept).select("id")
     comp = components(nodes.where("kind = 'memory'"), edges.where("relationship = 'SHARES_THEME'"))
     return {"memories": kept.join(lost, "id", "left_anti"), "themes": themes, "clusters": clusters, "forgotten": lost, "summaries": C.summaries(comp, kept)}

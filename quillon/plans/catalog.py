@@ -857,8 +857,7 @@ def _(s: Store) -> DataFrame:
 @query("o04_clusters")
 def _(s: Store) -> DataFrame:
     m = s.memories("namespace", "memory_type", "importance")
-    near = H.nearest(s.embeddings(), _probe(s), 10, key="memory_id", vector="embedding").where("score >= 0.92").select(F.least("query_id", "id").alias("src"), F.greatest("query_id", "id").alias("dst")).distinct()
-    return C.clusters(m, near)
+    return C.clusters(m, C.near_duplicates(m, s.embeddings()))
 
 
 @query("o07_summaries")

@@ -164,3 +164,30 @@ def test_scalars(spark):
     df = spark.createDataFrame([("src/a/b.rs", "/w", "/w/src/x")], "p string, cwd string, q string")
     r = df.select(S.path_tags(F.col("p")), S.relative_path(F.col("q"), F.col("cwd")), S.directory_of(F.col("p"))).first()
     assert list(r) == [["ext:rs", "dir:a", "file:b.rs"], "src/x", "src/a"]
+
+
+def test_near_duplicates_are_all_pairs_of_a_namespace_and_kind(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 6))
+    own = [(f"m{i:03d}", "n" if i % 3 else None, "decision" if i % 2 else "context", [float(np.float32(x)) for x in base[i % 12] + rng.normal(size=6) * 0.2]) for i in range(120)]
+    m = spark.createDataFrame([o[:3] for o in own], "id string, namespace string, memory_type string")
+    e = spark.createDataFrame([(o[0], o[3]) for o in own] + [("m000", [1.0, 2.0]), ("m001", None)], "memory_id string, embedding array<float>")
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = sorted((a[0], b[0]) for a in own for b in own if a[0] < b[0] and a[1:3] == b[1:3] and cos(a[3], b[3]) >= 0.92)
+    blocks = m.selectExpr("id AS memory_id", "concat(coalesce(namespace, ''), '/', memory_type) AS block")
+    assert len(want) > 50 and rows(C.near_duplicates(m, e).select("src", "dst")) == want
+    assert rows(C.close_pairs(e, blocks, per_tile=5).select("src", "dst")) == want
+
+
+def test_clusters_hold_pairs_far_from_any_probe_and_linked_ones(spark):
+    from quillon.operators import jobs as J
+
+    t = dt.datetime(2025, 1, 1)
+    m = spark.createDataFrame([(i, "n", "context", 0.5, 1, t, t, "x") for i in ("a", "b", "c")], "id string, namespace string, memory_type string, importance double, access_count int, last_accessed_at timestamp_ntz, updated_at timestamp_ntz, content string")
+    e = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "memory_id string, embedding array<float>")
+    n = spark.createDataFrame([("a", "memory"), ("b", "memory")], "id string, kind string")
+    g = spark.createDataFrame([("1", "a", "b", "SHARES_THEME")], "id string, src string, dst string, relationship string")
+    probes = spark.createDataFrame([("c", [0.0, 1.0])], "query_id string, vector array<float>")
+    assert rows(J.consolidate(m, e, n, g, probes, "2025-01-02 00:00:00")["clusters"].select("id", "component")) == [("a", "a"), ("b", "a")]
