@@ -28,13 +28,17 @@ def decayed_flat(memories: DataFrame, before: str | Column, factor: float) -> Da
     return memories.where(F.col("last_accessed_at") < S.when_of(before)).select("id", (F.col("importance") * factor).alias("importance"))
 
 
-def themes(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 7, unlike: float = 0.35, alike: float = 0.5) -> DataFrame:
+def themes(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, queries: DataFrame | None = None, k: int = 7, unlike: float = 0.35, alike: float = 0.5) -> DataFrame:
     """(src, dst, weight): SHARES_THEME links between near memories that are not linked yet.
 
     queries (query_id, vector) is the stated set of memories to link (the new
-    ones); they are compared with all. Kinds that differ need less similarity.
+    ones), by default all that have a vector; they are compared with all. Kinds
+    that differ need less similarity.
     """
-    near = nearest(embeddings, queries, k, key="memory_id", vector="embedding")
+    if queries is None:
+        own = embeddings.where("embedding IS NOT NULL").join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        queries = own.groupBy(F.col("memory_id").alias("query_id")).agg(F.max("embedding").alias("vector"))
+    near = nearest(embeddings, queries, k, key="memory_id", vector="embedding", per_pass=16_384)
     kind = memories.select("id", S.memory_type().alias("kind"))
     both = near.join(kind.select(F.col("id").alias("query_id"), F.col("kind").alias("a")), "query_id").join(kind.select("id", F.col("kind").alias("b")), "id")
     close = both.where(F.col("score") >= F.when(F.col("a") == F.col("b"), alike).otherwise(unlike))

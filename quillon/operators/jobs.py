@@ -76,8 +76,8 @@ def forget(memories: DataFrame, embeddings: DataFrame, nodes: DataFrame, edges:
     return delete_cascade(forgettable(memories, importance_below, most_accesses, tags).select("id"), memories, embeddings, nodes, edges)
 
 
-def consolidate(memories: DataFrame, embeddings: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: str) -> dict[str, DataFrame]:
-    """One whole round: decayed importances, new theme links, clusters with their winners, what is forgotten, summaries."""
+def consolidate(memories: DataFrame, embeddings: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame | None, now: str) -> dict[str, DataFrame]:
+    """One whole round: decayed importances, new theme links (of the queries, or of all memories), clusters with their winners, what is forgotten, summaries."""
     from .graph import components
     from .records import update_importance
 

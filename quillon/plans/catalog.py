@@ -851,7 +851,7 @@ def _(s: Store) -> DataFrame:
 
 @query("o03_themes")
 def _(s: Store) -> DataFrame:
-    return C.themes(s.memories("memory_type"), s.embeddings(), s.edges("src", "dst"), _probe(s))
+    return C.themes(s.memories("memory_type"), s.embeddings(), s.edges("src", "dst"))
 
 
 @query("o04_clusters")
@@ -1024,7 +1024,7 @@ def _(s: Store) -> DataFrame:
 @query("o08_consolidate")
 def _(s: Store) -> DataFrame:
     m = s.memories("content", "importance", "access_count", "last_accessed_at", "memory_type", "namespace")
-    out = J.consolidate(m, s.embeddings(), s.nodes("kind"), s.edges("src", "dst", "relationship"), _probe(s), NOW)
+    out = J.consolidate(m, s.embeddings(), s.nodes("kind"), s.edges("src", "dst", "relationship"), None, NOW)
     return out["clusters"].select("id", "component").union(out["forgotten"].select("id", F.lit("forgotten")))
 
 

@@ -191,3 +191,29 @@ def test_clusters_hold_pairs_far_from_any_probe_and_linked_ones(spark):
     g = spark.createDataFrame([("1", "a", "b", "SHARES_THEME")], "id string, src string, dst string, relationship string")
     probes = spark.createDataFrame([("c", [0.0, 1.0])], "query_id string, vector array<float>")
     assert rows(J.consolidate(m, e, n, g, probes, "2025-01-02 00:00:00")["clusters"].select("id", "component")) == [("a", "a"), ("b", "a")]
+
+
+def test_o03_links_every_memory(spark, data):
+    import numpy as np
+
+    from quillon.plans import catalog
+    from quillon.sources.tables import Store
+
+    s = Store(spark, data)
+    kind = {r["id"]: (r["memory_type"] or "").strip().lower() for r in s.memories("memory_type").collect()}
+    vectors = [(r["memory_id"], r["embedding"]) for r in s.embeddings().where("embedding IS NOT NULL").collect()]
+    asked = {}
+    for i, v in vectors:
+        asked[i] = max(asked.get(i, v), v)
+    known = {frozenset((r["src"], r["dst"])) for r in s.edges("src", "dst").collect()}
+    cos = lambda a, b: float(np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12))
+    want = set()
+    for q, v in asked.items():
+        score = {}
+        for i, x in vectors:
+            if i != q and len(x) == len(v):
+                score[i] = max(score.get(i, -2.0), cos(x, v))
+        near = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7]
+        want |= {frozenset((q, i)) for i, c in near if q in kind and i in kind and c >= (0.5 if kind[q] == kind[i] else 0.35)} - known
+    got = {frozenset((r["src"], r["dst"])) for r in catalog.queries()["o03_themes"](spark, data).collect()}
+    assert want and got == want
