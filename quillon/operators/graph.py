@@ -62,13 +62,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "both", relat
     return bfs(edges, seeds, 1 << 30, direction, relationships).select("id")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(step, id) of a shortest directed path, the smallest parent at each step; no rows if there is none."""
     spark = edges.sparkSession
     e = edges.select("src", "dst").distinct()
     seen = durable(spark.createDataFrame([(start, None, 0)], "id string, parent string, depth int"))
     frontier = seen
-    for level in range(1, most + 1):
+    level = 0
+    while True:
+        level += 1
         if frontier.where(F.col("id") == goal).limit(1).count():
             break
         new = frontier.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")

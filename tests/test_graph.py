@@ -91,3 +91,8 @@ def test_kernel_refuses_what_is_too_large(spark):
     n, e = frames(spark, list("abc"), [("a", "b"), ("b", "c")])
     with pytest.raises(ValueError):
         G.communities(n, e, most_edges=1)
+
+
+def test_shortest_path_longer_than_64_steps(spark):
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(70)], "src string, dst string")
+    assert G.shortest_path(e, "n000", "n070").count() == 71
