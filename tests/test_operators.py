@@ -217,3 +217,14 @@ def test_o03_links_every_memory(spark, data):
         want |= {frozenset((q, i)) for i, c in near if q in kind and i in kind and c >= (0.5 if kind[q] == kind[i] else 0.35)} - known
     got = {frozenset((r["src"], r["dst"])) for r in catalog.queries()["o03_themes"](spark, data).collect()}
     assert want and got == want
+
+
+def test_recall_answers_more_than_100_000_queries(spark):
+    from quillon.operators.recall import recall
+
+    t = dt.datetime(2025, 1, 1)
+    m = spark.createDataFrame([("m", "loader crate", ["x"], 0.5, 0.5, t, t, None)], "id string, content string, tags array<string>, importance double, confidence double, updated_at timestamp_ntz, last_accessed_at timestamp_ntz, expires_at timestamp_ntz")
+    n = spark.createDataFrame([("m", "memory", None, None)], "id string, kind string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    e = spark.createDataFrame([], "id string, src string, dst string, weight double, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    q = spark.range(100_050).selectExpr("concat('q', id) AS query_id", "'loader' AS query")
+    assert recall(m, n, e, q, "2025-01-02 00:00:00").count() == 100_050
