@@ -109,9 +109,9 @@ def first_chars(column: str, n: int) -> Column:
     return F.left(F.col(column), F.lit(n))
 
 
-def signature(column: str, most: int = 120) -> Column:
+def signature(column: str | Column, most: int = 120) -> Column:
     """The first line, cut at the last blank within ``most`` characters."""
-    line = F.split_part(F.col(column), F.lit("\n"), F.lit(1))
+    line = F.split_part(F.col(column) if isinstance(column, str) else column, F.lit("\n"), F.lit(1))
     head = F.left(line, F.lit(most))
     cut = F.regexp_extract(head, r"^(.*)\s\S*$", 1)
     return F.when(F.length(line) <= most, line).when(cut != "", cut).otherwise(head)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -114,11 +116,20 @@ def near_duplicates(memories: DataFrame, embeddings: DataFrame, least: float = 0
     return close_pairs(embeddings, blocks, least)
 
 
-def summaries(comp: DataFrame, memories: DataFrame, least: int = 5, writer=None) -> DataFrame:
-    """(component, n, text): a text for each component of ``least`` memories; writer is a column function over the sorted contents, by default their first lines."""
-    packed = comp.join(memories.select("id", "content"), "id").groupBy("component").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", S.signature("content").alias("line")))).alias("lines")).where(F.col("n") >= least)
-    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n") if writer is None else writer(F.col("lines"))
-    return packed.select("component", "n", text.alias("text"))
+def first_lines(contents: Column) -> Column:
+    """A writer for summaries: the first line of each content, 120 characters at most."""
+    return F.array_join(F.transform(contents, lambda x: S.signature(x["content"])), "\n")
+
+
+def joined(contents: Column) -> Column:
+    """A writer for summaries: the whole contents."""
+    return F.array_join(F.transform(contents, lambda x: x["content"]), "\n---\n")
+
+
+def summaries(comp: DataFrame, memories: DataFrame, least: int = 5, writer: Callable[[Column], Column] = joined) -> DataFrame:
+    """(component, n, text): a text for each component of ``least`` memories; writer is a column function over the whole contents (id, content), sorted by id."""
+    packed = comp.join(memories.select("id", "content"), "id").groupBy("component").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "content"))).alias("contents")).where(F.col("n") >= least)
+    return packed.select("component", "n", writer(F.col("contents")).alias("text"))
 
 
 def tag_links(memories: DataFrame, most: int = 50) -> DataFrame:

@@ -228,3 +228,11 @@ def test_recall_answers_more_than_100_000_queries(spark):
     e = spark.createDataFrame([], "id string, src string, dst string, weight double, valid_from timestamp_ntz, valid_to timestamp_ntz")
     q = spark.range(100_050).selectExpr("concat('q', id) AS query_id", "'loader' AS query")
     assert recall(m, n, e, q, "2025-01-02 00:00:00").count() == 100_050
+
+
+def test_summaries_keep_the_whole_contents(spark):
+    m = spark.createDataFrame([("b", "two\nmore " + "y" * 200), ("a", "one")], "id string, content string")
+    comp = spark.createDataFrame([("a", "a"), ("b", "a")], "id string, component string")
+    assert C.summaries(comp, m, least=2).first()["text"] == "one\n---\ntwo\nmore " + "y" * 200
+    assert C.summaries(comp, m, least=2, writer=C.first_lines).first()["text"] == "one\ntwo"
+    assert C.summaries(comp, m, least=2, writer=lambda c: c[1]["content"]).first()["text"].endswith("y" * 200)
