@@ -458,7 +458,7 @@ def _(s: Store) -> DataFrame:
 
 @query("h06_pca")
 def _(s: Store) -> DataFrame:
-    return H.pca(s.embeddings(), "memory_id", "embedding", 3)
+    return H.pca(s.embeddings(), "memory_id", "embedding", 3, model="model")
 
 
 _TOKENS = r"""list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{L}})([0-9])', '\1 \2', 'g'), '([0-9])(\p{{L}})', '\1 \2', 'g')), '[\p{{L}}0-9]+'), lambda x: strlen(x) >= 2)"""

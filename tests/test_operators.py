@@ -236,3 +236,14 @@ def test_summaries_keep_the_whole_contents(spark):
     assert C.summaries(comp, m, least=2).first()["text"] == "one\n---\ntwo\nmore " + "y" * 200
     assert C.summaries(comp, m, least=2, writer=C.first_lines).first()["text"] == "one\ntwo"
     assert C.summaries(comp, m, least=2, writer=lambda c: c[1]["content"]).first()["text"].endswith("y" * 200)
+
+
+def test_pca_projects_every_model_and_length(spark):
+    line = [("m", f"a{i}", [float(i), 2.0 * i, 0.0]) for i in range(10)] + [("n", f"b{i}", [float(i), 0.0, 0.0]) for i in range(4)] + [(None, f"c{i}", [float(i), 1.0]) for i in range(3)]
+    v = spark.createDataFrame(line, "model string, id string, v array<float>")
+    got = {r["id"]: r for r in H.pca(v, "id", "v", 3, model="model").collect()}
+    assert len(got) == 17
+    for p, n, step in (("a", 10, 5**0.5), ("b", 4, 1.0), ("c", 3, 1.0)):
+        c = [got[f"{p}{i}"]["c1"] for i in range(n)]
+        assert all(abs(abs(y - x) - step) < 1e-6 for x, y in zip(c, c[1:]))
+    assert got["c0"]["d"] == 2 and got["c0"]["c3"] is None
