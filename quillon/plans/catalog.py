@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding as E
 from ..functions import scalars as S
+from ..functions.lineage import durable
 from ..operators import analytics as A
 from ..operators import consolidate as C
 from ..operators import enrich as N
@@ -505,29 +506,41 @@ def _(s: Store) -> DataFrame:
 # ---- J: recall -----------------------------------------------------------------
 
 
-def _recall(s: Store, k: int = 10) -> DataFrame:
+def _centrality(s: Store) -> tuple[DataFrame, DataFrame]:
+    """PageRank and betweenness over the whole graph."""
+    n, e = s.nodes("kind"), s.edges("src", "dst")
+    return durable(G.pagerank(n, e)), durable(G.betweenness(n, e))
+
+
+def _recall(s: Store, ranks: DataFrame, between: DataFrame, k: int = 10) -> DataFrame:
+    """The model of the stored vectors can't be asked here, so queries and contents are embedded alike by hashed words."""
     m = s.memories("content", "tags", "importance", "confidence", "last_accessed_at", "expires_at")
-    return recall(m, s.nodes("kind", "valid_from", "valid_to"), s.edges("src", "dst", "weight", "valid_from", "valid_to"), _asked(s), NOW, k=k)
+    embed = E.hashed_words(64)
+    asked = _asked(s).withColumn("vector", embed(F.col("query")))
+    vectors = m.where(S.not_expired(S.ts(NOW)) & F.col("content").isNotNull()).select(F.col("id").alias("memory_id"), embed(F.col("content")).alias("embedding"))
+    return recall(m, s.nodes("kind", "valid_from", "valid_to"), s.edges("src", "dst", "weight", "valid_from", "valid_to"), asked, NOW, k=k, embeddings=vectors, ranks=ranks, between=between)
 
 
 @query("j05_recall")
 def _(s: Store) -> DataFrame:
-    return _recall(s)
+    return _recall(s, *_centrality(s))
 
 
 @query("j07_recall_expanded")
 def _(s: Store) -> DataFrame:
-    return recall_expanded(_recall(s).select("query_id", "id"), s.nodes("kind"), s.edges("src", "dst"), 1)
+    return recall_expanded(_recall(s, *_centrality(s)).select("query_id", "id"), s.nodes("kind"), s.edges("src", "dst"), 1)
 
 
 @query("j08_recall_with_impact")
 def _(s: Store) -> DataFrame:
-    out = with_impact(_recall(s), s.nodes("kind", "label"), s.edges("src", "dst"), s.memories("memory_type"))
-    return out.select("query_id", "id", F.size("files").alias("files"), F.size("decisions").alias("decisions"))
+    ranks, between = _centrality(s)
+    out = with_impact(durable(_recall(s, ranks, between)), s.nodes("kind", "label", "payload"), s.edges("src", "dst"), s.memories("memory_type"), ranks, between)
+    return out.select("query_id", "id", "pagerank", "betweenness", F.size("files").alias("files"), F.size("decisions").alias("decisions"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recall(Store(spark, sf_dir))
+    s = Store(spark, sf_dir)
+    return _recall(s, *_centrality(s))
 
 
 # ---- K: graph --------------------------------------------------------------------

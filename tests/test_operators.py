@@ -247,3 +247,23 @@ def test_pca_projects_every_model_and_length(spark):
         c = [got[f"{p}{i}"]["c1"] for i in range(n)]
         assert all(abs(abs(y - x) - step) < 1e-6 for x, y in zip(c, c[1:]))
     assert got["c0"]["d"] == 2 and got["c0"]["c3"] is None
+
+
+def test_recall_query_uses_vectors_and_centrality(spark, data):
+    from quillon.plans import catalog
+
+    got = catalog.queries()["j05_recall"](spark, data).collect()
+    assert any(r["vector"] > 0 for r in got)
+    impact = catalog.queries()["j08_recall_with_impact"](spark, data).collect()
+    assert impact and any(r["pagerank"] > 0 for r in impact) and "betweenness" in impact[0].asDict()
+
+
+def test_impact_gives_file_paths_and_values(spark):
+    from quillon.operators.recall import with_impact
+
+    found = spark.createDataFrame([("q", "m")], "query_id string, id string")
+    n = spark.createDataFrame([("f", "file", "src/a", None), ("s", "function", "go", '{"file_path": "src/b"}')], "id string, kind string, label string, payload string")
+    e = spark.createDataFrame([("m", "f"), ("s", "m")], "src string, dst string")
+    d = spark.createDataFrame([("m", "context")], "id string, memory_type string")
+    ranks, between = spark.createDataFrame([("m", 0.25)], "id string, rank double"), spark.createDataFrame([("m", 0.5)], "id string, betweenness double")
+    assert rows(with_impact(found, n, e, d, ranks, between)) == [("q", "m", 0.25, 0.5, ["src/a", "src/b"], [])]
