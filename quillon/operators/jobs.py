@@ -32,6 +32,15 @@ def search_code(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
+def symbol_hits(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, position): the k symbols whose label or qualified name contains the text of each query (query_id, query), each name once, the shortest first. The queries are a stated, small set."""
+    symbols = nodes.where(F.startswith("id", F.lit("sym:"))).select(S.path_of("id").alias("name"), "id", "label").groupBy("name").agg(F.min("id").alias("id"), F.collect_set(F.lower("label")).alias("labels"))
+    asked = queries.where("query <> ''").select("query_id", F.lower("query").alias("q")).distinct()
+    hit = symbols.join(asked, F.contains(F.lower("name"), F.col("q")) | F.exists("labels", lambda x: F.contains(x, F.col("q"))))
+    order = W.partitionBy("query_id").orderBy(F.length("name"), "name")
+    return hit.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("query_id", "id", "position")
+
+
 def hybrid_code(semantic: DataFrame, textual: DataFrame, k: int) -> DataFrame:
     """(query_id, id, position): semantic hits first, then textual ones (both query_id, id, position), each id once."""
     both = semantic.select("query_id", "id", F.lit(0).alias("source"), "position").union(textual.select("query_id", "id", F.lit(1), "position"))
@@ -120,4 +129,4 @@ def stop_summary(memories: DataFrame, session: str) -> DataFrame:
     return row.select("session_id", text.alias("content"), F.array(F.lit("session-summary"), F.lit("pending-analysis")).alias("tags"))
 
 
-__all__ = ["search_code", "hybrid_code", "new_insights", "active_edges", "traverse_at", "symbol_graph", "impact_subgraph", "forget", "consolidate", "folded_sessions", "start_context", "stop_summary"]
+__all__ = ["search_code", "symbol_hits", "hybrid_code", "new_insights", "active_edges", "traverse_at", "symbol_graph", "impact_subgraph", "forget", "consolidate", "folded_sessions", "start_context", "stop_summary"]

@@ -970,9 +970,12 @@ def _(s: Store) -> DataFrame:
 
 @query("h08_hybrid_code")
 def _(s: Store) -> DataFrame:
-    semantic = J.search_code(s.embeddings(), _probe(s), 5)
-    text = s.nodes("kind", "label").where("kind = 'function'").orderBy("id").limit(5).select("id", F.monotonically_increasing_id().cast("int").alias("position"))
-    return J.hybrid_code(semantic, semantic.select("query_id").distinct().crossJoin(F.broadcast(text)), 8)
+    embed = E.hashed_words(64)  # texts and labels alike: the model of the stored vectors can't be asked here
+    rows = [("q1", "shard"), ("q2", "parser"), ("q3", "HistogramFrame"), ("q4", "zzz nothing")]
+    asked = s.spark.createDataFrame(rows, "query_id string, query string").withColumn("vector", embed(F.col("query")))
+    nodes = s.nodes("label").where(J.is_code("id"))
+    vectors = nodes.where("label IS NOT NULL").select(F.col("id").alias("memory_id"), embed(F.col("label")).alias("embedding"))
+    return J.hybrid_code(J.search_code(vectors, asked, 5), J.symbol_hits(nodes, asked, 8), 8)
 
 
 @query("k18_traverse_at", f"WITH RECURSIVE v AS (SELECT src, dst FROM edg WHERE {_VALID.format(BEFORE)}), b AS (SELECT src AS id, 0 AS depth FROM {_HUB} UNION SELECT x.b, depth + 1 FROM b JOIN (SELECT src AS a, dst AS b FROM v UNION SELECT dst, src FROM v) AS x ON x.a = b.id WHERE depth < 2) SELECT id, min(depth) AS depth FROM b WHERE id IN (SELECT id FROM nod WHERE {_VALID.format(BEFORE)}) GROUP BY 1")

@@ -267,3 +267,20 @@ def test_impact_gives_file_paths_and_values(spark):
     d = spark.createDataFrame([("m", "context")], "id string, memory_type string")
     ranks, between = spark.createDataFrame([("m", 0.25)], "id string, rank double"), spark.createDataFrame([("m", 0.5)], "id string, betweenness double")
     assert rows(with_impact(found, n, e, d, ranks, between)) == [("q", "m", 0.25, 0.5, ["src/a", "src/b"], [])]
+
+
+def test_textual_hits_contain_the_query(spark):
+    from quillon.operators import jobs as J
+
+    n = spark.createDataFrame([("sym:a::loadShard", "loadShard"), ("sym:b::x", "SHARD"), ("sym:c", "other"), ("file:shard", "shard")], "id string, label string")
+    q = spark.createDataFrame([("q1", "shard"), ("q2", "c"), ("q3", "zzz"), ("q4", "")], "query_id string, query string")
+    assert rows(J.symbol_hits(n, q, 8)) == [("q1", "sym:a::loadShard", 2), ("q1", "sym:b::x", 1), ("q2", "sym:c", 1)]
+
+
+def test_h08_takes_other_symbols_for_other_queries(spark, data):
+    from quillon.plans import catalog
+
+    got = {}
+    for r in catalog.queries()["h08_hybrid_code"](spark, data).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert any("shard" in i.lower() for i in got["q1"]) and got["q1"] != got["q2"]
