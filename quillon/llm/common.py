@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import xxhash
@@ -65,13 +66,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared checkpoint folder of the session.
+#: Frees the shuffle files of a statement when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that
-    is unset (tests, local runs) a temporary one is made.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: that of ``spark.checkpoint.dir``; only where it is unset (tests, local runs) a local one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc.getConf().get("spark.checkpoint.dir")
@@ -82,4 +82,22 @@ def durable(df: DataFrame) -> DataFrame:
 
             where = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         sc.setCheckpointDir(where)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table written into the shared checkpoint folder of the session.
+
+    A compressed table is a fraction of a checkpoint's serialised rows and is
+    read by column. The shuffle files behind it are freed as soon as it stands;
+    should an executor be lost, the table is still there.
+    """
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(where)

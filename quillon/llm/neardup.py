@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +12,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, latest, mix, words
+from .common import WordHashes, durable, mix, words
 from .copies import Node, classes_of, record
 
 #: Frequent words whose order is known on all workers; all other words count as rare.
 HEAD = 4096
-#: Bits of the parity sketch: one word of 64 and one of 32.
+#: Bits of the parity sketch: one word of 64 and one of 32. A set goes by its sketch.
 _BITS = 96
-#: Sums of two set sizes up to which each family of parts reaches; each next reaches 2.4 times as far.
+#: Sums of two set sizes up to which each family (size band) of parts reaches; each next reaches 2.4 times as far.
 _FIRST, _RATIO = 28, 2.4
 #: Rows of one key compared at once; longer runs are cut into blocks and compared tile by tile.
 RUN = 8192
-_CAP = (1 << 16) - 1
+#: Sets that may have a key by chance: a key takes words until not more are expected to (were the words independent).
+CROWD = 128
+#: Words of a key at most, and errors that a part may stand for.
+_WORDS, _ERRORS = 4, 2
+_CAP = (1 << 12) - 1
+#: Bytes of a row and of the rows of a task of the join.
+_ROW, _TASK = 20, 6 << 20
+#: Slices of the keys of a task, compared one after the other.
+_SLICES = 8
 
 _HASHES = WordHashes()
 
@@ -33,41 +42,42 @@ def most_different(total: np.ndarray, least: float) -> np.ndarray:
 
 
 def families(size: int, least: float) -> Iterator[tuple[int, int, int]]:
-    """(family, parts, errors to allow for) in which a set of this size can meet partners.
+    """(family, parts, errors to stand for) in which a set of this size can meet partners.
 
-    A family holds the pairs whose sizes add up to at most its bound and more
-    than the bound before. Its number of parts m is the third of the largest
-    difference d of such a pair: then some part of the m differs in two
-    elements at most.
+    A family is a size band: it holds the pairs whose sizes add up to at most
+    its bound and more than the bound before. It has half as many parts as such
+    a pair may have errors (elements of one set only).
     """
-    low, bound, number = size * (1 + least), _FIRST, 0
-    top = size * (1 + 1 / least)
-    before = 0
+    low, top = size * (1 + least), size * (1 + 1 / least)
+    bound, before, number = _FIRST, 0, 0
     while before < top:
         if bound >= low:
-            parts = max(1, -(-(int(most_different(bound, least)) + 1) // 3))
-            yield number, parts, int(most_different(min(bound, int(top + 1e-9)), least))
+            yield number, max(1, -(-(int(most_different(bound, least)) + 1) // 2)), int(most_different(min(bound, int(top + 1e-9)), least))
         before, bound, number = bound, int(bound * _RATIO), number + 1
 
 
 class Tokens:
-    """Words as 64-bit hashes with their order (rare first) and the part that each falls into."""
+    """Words as 64-bit hashes with their order (rare first), the part that each falls into and the share of the sets that have it."""
 
-    def __init__(self, head: list[str], shares: list[float] | None = None):
-        """head: words, the most frequent first; shares: the share of the sets that each is in (1 where not given)."""
+    def __init__(self, head: list[str], shares: list[float] | None = None, sets: int = 1):
+        """head: words, the most frequent first; shares: the share of the sets that each is in; sets: their number."""
         rank = {xxhash.xxh3_64_intdigest(w): i for i, w in enumerate(head)}
         self.keys = np.array(sorted(rank), np.uint64)
         self.ranks = np.array([rank[k] for k in self.keys.tolist()], np.uint64)
-        self.shares = np.array(shares if shares is not None else [1.0] * len(head))[self.ranks.astype(np.int64)] if head else np.zeros(0)
+        share = np.array(shares if shares is not None else [1.0] * len(head))
+        self.shares = share[self.ranks.astype(np.int64)] if head else np.zeros(0)
+        #: A word outside the head is in no more sets than the last word of the head.
+        self.rare = float(share[-1]) if len(head) == HEAD else 1.0 / max(1, sets)
+        self.crowd = CROWD / max(1, sets)
 
     def order(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, what decides the part, share of the sets) of each hash."""
         if not len(self.keys):
-            return h >> np.uint64(1), mix(h), np.zeros(len(h))
+            return h >> np.uint64(1), mix(h), np.full(len(h), self.rare)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         known = self.keys[at] == h
         order = np.where(known, np.uint64(1 << 63) + np.uint64(HEAD) - self.ranks[at], h >> np.uint64(1))
-        return order, np.where(known, self.ranks[at], mix(h)), np.where(known, self.shares[at], 0.0)
+        return order, np.where(known, self.ranks[at], mix(h)), np.where(known, self.shares[at], self.rare)
 
 
 def sketches(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,63 +89,75 @@ def sketches(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.bitwise_xor.reduceat(first, starts), np.bitwise_xor.reduceat(second, starts)
 
 
-#: Two words are an anchor if not more than this share of the sets has both (were they independent); else a third goes with them.
-COMMON = 0.003
+def allotted(count: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(errors that each part stands for, whether they suffice) of sets with ``count[s, i]`` elements in part i.
 
-
-def _subsets(whose: np.ndarray, part: np.ndarray, h: np.ndarray, share: np.ndarray, m: int, errors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, key, level, allowed) of the anchors of every part of every set.
-
-    Elements come sorted by set, part and order. The anchor of two parts is a
-    function of their common elements: the first two, or three where two are
-    common ones, or all if there are fewer. If the parts differ by x and y
-    elements, the k first common ones are among the first k + x and k + y of
-    either, so both parts have that key, at levels of at most x and y.
+    A pair is found in part i if it differs there in no more elements than both
+    sets allot to it and has two in common. So a part of n elements that stands
+    for e errors takes up min(e + 1, n - 1) of the pair's errors at least, and
+    a pair of ``errors`` in all is found if more than these are taken up. Each
+    set allots what it needs by itself, in one fixed order of parts: of two
+    sets the one that allots more has every row that the other counts on.
+    """
+    n, m = count.shape
+    room = np.maximum(count - 1, 0)
+    base = -(-(errors[:, None] + 1 - np.arange(m)) // m) - 1
+    e = np.clip(base, -1, _ERRORS)
+    enough = np.minimum(e + 1, room).sum(axis=1) > errors
+    for level in range(_ERRORS + 1):  # raise part after part to this level while errors are left
+        gain = np.minimum(np.maximum(e, level) + 1, room) - np.minimum(e + 1, room)
+        missing = errors + 1 - np.minimum(e + 1, room).sum(axis=1)
+        raised = (np.cumsum(gain, axis=1) - gain < missing[:, None]) & ~enough[:, None]
+        e = np.where(raised, np.maximum(e, level), e)
+        enough = np.minimum(e + 1, room).sum(axis=1) > errors
+    return e, enough
+
+
+def _keys_of_parts(count: np.ndarray, begin: np.ndarray, e: np.ndarray, h: np.ndarray, share: np.ndarray, salt: np.ndarray, crowd: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, key, level) of every part of every set: parities of the hashes of its first words, with up to e words left out.
+
+    A slot is a part of a set; its words come rare first. The key of two parts
+    is a function of the words that both have: the parity of the first two,
+    or of so many more that not over CROWD sets are expected to have them, or
+    of all there are. If the parts differ in x and y words, leaving out x of
+    one and y of the other gives both that key, at levels x and y at most.
     """
-    sets, keys, levels, limits = [], [], [], []
-    owner = np.repeat(np.arange(len(errors)), m)
-    number = np.tile(np.arange(m), len(errors))
-    count = np.bincount(whose * m + part, minlength=len(owner))
-    allowed = -(-(errors[owner] + 1 - number) // m) - 1  # errors that this part must stand for at most
-    begin = np.cumsum(count) - count
-    salt = mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 1))
-
-    def emit(slots: np.ndarray, key: np.ndarray, level: np.ndarray | int) -> None:
-        sets.append(owner[slots])
-        keys.append(mix(key ^ salt[slots]))
-        levels.append(np.broadcast_to(level, slots.shape))
-        limits.append(allowed[slots])
-
-    slots = np.arange(len(owner))
-    fold = np.uint64(0xC2B2AE3D27D4EB4F)
-    for b in (1, 2, 3):
-        for a in range(b):
-            ok = slots[(count > b) & (allowed >= b - 1)]
-            pair = mix(h[begin[ok] + a]) * fold + h[begin[ok] + b]
-            common = share[begin[ok] + a] * share[begin[ok] + b] > COMMON
-            emit(ok[~common], pair[~common], b - 1)
-            ok, pair = ok[common], pair[common]
-            for c in range(b + 1, 5):
-                more = (count[ok] > c) & (allowed[ok] >= c - 2)
-                emit(ok[more], mix(pair[more]) * fold + h[begin[ok[more]] + c], c - 2)
-            alone = count[ok] - 2 <= allowed[ok]
-            emit(ok[alone], pair[alone] + np.uint64(1), count[ok[alone]] - 2)
-    for place in range(3):
-        ok = slots[(count > place) & (count - 1 <= allowed)]
-        emit(ok, mix(h[begin[ok] + place] + np.uint64(1)), count[ok] - 1)
-    ok = slots[(count <= allowed) & (allowed >= 0)]
-    emit(ok, np.full(len(ok), 0x51ED270B, np.uint64), count[ok])
-    return np.concatenate(sets), np.concatenate(keys), np.concatenate(levels), np.concatenate(limits)
-
-
-def anchor_rows(token_sets: list[list[str]], names: np.ndarray, tokens: Tokens, least: float) -> np.ndarray:
-    """Rows of three 64-bit words: key 40 | size 16 | allowed 4 | level 4; name 32 | second sketch 32; first sketch."""
+    slots_out, keys, levels = [], [], []
+    slots = np.arange(len(count))
+    mark = np.uint64(0xC2B2AE3D27D4EB4F)
+    for gone in range(_ERRORS + 1):
+        for out in combinations(range(_WORDS + gone - 1), gone):
+            last_out = out[-1] if out else -1
+            left = [i for i in range(_WORDS + gone) if i not in out]
+            live = slots[(e >= gone) & (count > last_out) & (count - gone >= 2)]
+            key, product = np.zeros(len(live), np.uint64), np.ones(len(live))
+            for t, place in enumerate(left[:_WORDS], 1):
+                has = count[live] > place
+                # all words that are left are used up: the key says so
+                done = ~has
+                if done.any():
+                    slots_out.append(live[done])
+                    keys.append(mix(key[done] + mark) ^ salt[live[done]])
+                    levels.append(np.full(int(done.sum()), gone))
+                live, key, product = live[has], key[has], product[has]
+                word = begin[live] + place
+                key, product = key ^ mix(h[word] ^ mark), product * share[word]
+                enough = (np.full(len(live), True) if t == _WORDS else product <= crowd) if t >= 2 else np.zeros(len(live), bool)
+                if place > last_out:  # else a word is left out behind the key: a row of a lower level says the same
+                    slots_out.append(live[enough])
+                    keys.append(mix(key[enough]) ^ salt[live[enough]])
+                    levels.append(np.full(int(enough.sum()), gone))
+                live, key, product = live[~enough], key[~enough], product[~enough]
+    return np.concatenate(slots_out), np.concatenate(keys), np.concatenate(levels)
+
+
+def anchor_rows(token_sets: list[list[str]], tokens: Tokens, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key of 64 bits, rows of three words: size 12 | errors 2 | level 2; second sketch; first sketch) of some sets of distinct words."""
+    token_sets = [s for s in token_sets if s]
+    if not token_sets:
+        return np.zeros(0, np.uint64), np.zeros((3, 0), np.uint64)
     sizes = np.array([len(s) for s in token_sets], np.int64)
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return np.zeros((3, 0), np.int64)
-    sizes, names = sizes[full], names[full]
-    h = _HASHES.of([w for i in full.tolist() for w in token_sets[i]])
+    h = _HASHES.of([w for s in token_sets for w in s])
     starts = np.cumsum(sizes) - sizes
     s1, s2 = sketches(h, starts)
     order, deciding, share = tokens.order(h)
@@ -144,65 +166,112 @@ def anchor_rows(token_sets: list[list[str]], names: np.ndarray, tokens: Tokens,
     for size in np.unique(sizes).tolist():
         for number, parts, errors in families(size, least):
             by_family.setdefault(number, ({}, parts))[0][size] = errors
-    out = []
-    for number, (of_size, parts) in sorted(by_family.items()):
-        chosen = np.isin(sizes, list(of_size))
-        new = np.cumsum(chosen) - 1
-        tok = chosen[whose]
-        w, part = new[whose[tok]], (deciding[tok] % np.uint64(parts)).astype(np.int64)
+    whom, keys, levels, limits = [], [], [], []
+    short = np.zeros(len(sizes), bool)
+    for number, (of_size, m) in sorted(by_family.items()):
+        chosen = np.flatnonzero(np.isin(sizes, list(of_size)))
+        new = np.full(len(sizes), -1)
+        new[chosen] = np.arange(len(chosen))
+        tok = new[whose] >= 0
+        w, part = new[whose[tok]], (deciding[tok] % np.uint64(m)).astype(np.int64)
         sort = np.lexsort((order[tok], part, w))
+        count = np.bincount(w * m + part, minlength=len(chosen) * m)
         errors = np.array([of_size[s] for s in sizes[chosen].tolist()])
-        who, key, level, allowed = _subsets(w[sort], part[sort], h[tok][sort], share[tok][sort], parts, errors, number)
-        at = np.flatnonzero(chosen)[who]
-        first = (key >> np.uint64(24) << np.uint64(24)) | np.minimum(sizes[at], _CAP).astype(np.uint64) << np.uint64(8) | allowed.astype(np.uint64) << np.uint64(4) | level.astype(np.uint64)
-        out.append(np.stack([first, names[at] << np.uint64(32) | s2[at], s1[at]]))
-    return np.concatenate(out, axis=1).view(np.int64)
+        e, enough = allotted(count.reshape(-1, m), errors)
+        e[~enough] = _ERRORS  # all there is, for partners that count on it
+        short[chosen[~enough]] = True
+        salt = np.tile(mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1)), len(chosen))
+        slot, key, level = _keys_of_parts(count, np.cumsum(count) - count, e.ravel(), h[tok][sort], share[tok][sort], salt, tokens.crowd)
+        whom.append(chosen[slot // m])
+        keys.append(key)
+        levels.append(level)
+        limits.append(e.ravel()[slot])
+    if short.any():  # sets too small to allot enough: two of them share one of their first words (prefix filter)
+        tok = short[whose]
+        sort = np.lexsort((order[tok], whose[tok]))
+        w, hw = whose[tok][sort], h[tok][sort]
+        place = np.arange(len(w)) - np.searchsorted(w, w)
+        first = place <= sizes[w] - np.ceil(least * sizes[w] - 1e-9)
+        whom.append(w[first])
+        keys.append(mix(hw[first] + np.uint64(0x51ED270B)))
+        levels.append(np.zeros(int(first.sum()), np.int64))
+        limits.append(np.full(int(first.sum()), _ERRORS))
+    at, key = np.concatenate(whom), np.concatenate(keys)
+    first = np.minimum(sizes[at], _CAP).astype(np.uint64) << np.uint64(4) | np.concatenate(limits).astype(np.uint64) << np.uint64(2) | np.concatenate(levels).astype(np.uint64)
+    return key, np.stack([first, s2[at], s1[at]])
+
+
+_SIZE, _LOW = np.uint64(4), np.uint64(3)
+#: Of a key 48 bits are in the row; the others are those of the slice it is in.
+_KEY = np.uint64((1 << 48) - 1)
+
+
+def _size(row: np.ndarray) -> np.ndarray:
+    return (row >> _SIZE & np.uint64(_CAP)).astype(np.int64)
 
 
 def _meet(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Whether rows x[:, i] and y[:, i] of one key may be of similar sets: size, level and sketch."""
-    size_x, size_y = ((z[0] >> np.uint64(8) & np.uint64(_CAP)).astype(np.int64) for z in (x, y))
-    level = (x[0] & np.uint64(15)) + (y[0] & np.uint64(15))
-    allowed = np.minimum(x[0] >> np.uint64(4) & np.uint64(15), y[0] >> np.uint64(4) & np.uint64(15))
-    d = most_different(size_x + size_y, least)
+    size_x, size_y = _size(x[0]), _size(y[0])
+    level = (x[0] & _LOW) + (y[0] & _LOW)
+    allowed = np.minimum(x[0] >> np.uint64(2) & _LOW, y[0] >> np.uint64(2) & _LOW)
     open_ended = (size_x == _CAP) | (size_y == _CAP)
-    apart = np.bitwise_count(x[2] ^ y[2]).astype(np.int64) + np.bitwise_count((x[1] ^ y[1]) & np.uint64(0xFFFFFFFF))
-    other = (x[1] >> np.uint64(32)) != (y[1] >> np.uint64(32))
-    return other & (level <= allowed) & (open_ended | ((np.minimum(size_x, size_y) >= least * np.maximum(size_x, size_y) - 1e-9) & (apart <= d)))
+    apart = np.bitwise_count(x[2] ^ y[2]).astype(np.int64) + np.bitwise_count(x[1] ^ y[1])
+    other = (x[1] != y[1]) | (x[2] != y[2])
+    return other & (level <= allowed) & (open_ended | ((np.minimum(size_x, size_y) >= least * np.maximum(size_x, size_y) - 1e-9) & (apart <= most_different(size_x + size_y, least))))
 
 
 #: Runs of fewer rows are compared all at once, place by place; longer ones each as a matrix, so many rows of it at a time.
 _SHORT, _STRIP = 64, 256
 
 
+def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of names: first and second sketch of either, the smaller name first."""
+    turn = (x[2] > y[2]) | ((x[2] == y[2]) & (x[1] > y[1]))
+    return np.stack([np.where(turn, y[2], x[2]), np.where(turn, y[1], x[1]), np.where(turn, x[2], y[2]), np.where(turn, x[1], y[1])])
+
+
 def _crossed(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[np.ndarray]:
-    """Pairs of names between the rows x and y of one key (each pair once if they are the same rows), a strip of x at a time."""
-    size_x, size_y = ((z[0] >> np.uint64(8) & np.uint64(_CAP)).astype(np.int64) for z in (x, y))
+    """Pairs of names between the rows x and y of one key (each pair once if they are the same rows).
+
+    Both are sorted by size and compared block by block, so that the sizes of
+    two blocks give a narrow limit to the bits in which sketches may differ.
+    """
+    x = x[:, np.argsort(_size(x[0]), kind="stable")]
+    y = x if same else y[:, np.argsort(_size(y[0]), kind="stable")]
+    size_x, size_y = _size(x[0]), _size(y[0])
     first, second = x[2].copy(), y[2].copy()
     for at in range(0, x.shape[1], _STRIP):
-        strip = slice(at, min(at + _STRIP, x.shape[1]))
-        behind = at if same else 0
-        d = most_different(size_x[strip] + size_y.max(), least)
-        d = np.where((size_x[strip] == _CAP) | (size_y.max() == _CAP), 64, np.minimum(d, 64)).astype(np.uint8)
-        i, j = np.nonzero(np.bitwise_count(first[strip, None] ^ second[None, behind:]) <= d[:, None])
-        i, j = i + at, j + behind
-        if same:
-            i, j = i[i < j], j[i < j]
-        keep = _meet(x[:, i], y[:, j], least)
-        yield np.stack([x[1, i[keep]], y[1, j[keep]]]) >> np.uint64(32)
+        to = min(at + _STRIP, x.shape[1])
+        begin = max(at if same else 0, int(np.searchsorted(size_y, np.ceil(size_x[at] * least - 1e-9))))
+        end = len(size_y) if size_x[to - 1] == _CAP else int(np.searchsorted(size_y, np.floor(size_x[to - 1] / least + 1e-9), side="right"))
+        if size_y[-1] == _CAP:
+            end = len(size_y)
+        for low in range(begin, end, _STRIP):
+            high = min(low + _STRIP, end)
+            d = 64 if size_x[to - 1] == _CAP or size_y[high - 1] == _CAP else min(64, int(most_different(size_x[to - 1] + size_y[high - 1], least)))
+            at_least = np.flatnonzero((np.bitwise_count(first[at:to, None] ^ second[None, low:high]) <= d).ravel())
+            if not len(at_least):
+                continue
+            i, j = at_least // (high - low) + at, at_least % (high - low) + low
+            if same:
+                i, j = i[i < j], j[i < j]
+            keep = _meet(x[:, i], y[:, j], least)
+            yield _both(x[:, i[keep]], y[:, j[keep]])
 
 
 def _pairs(found: list[np.ndarray]) -> np.ndarray:
-    both = np.sort(np.concatenate([np.zeros((2, 0), np.uint64), *found], axis=1), axis=0)
-    once = np.unique(both[0] << np.uint64(32) | both[1])
-    return np.stack([once >> np.uint64(32), once & np.uint64(0xFFFFFFFF)])
+    both = np.concatenate([np.zeros((4, 0), np.uint64), *found], axis=1)
+    both = both[:, np.lexsort(both)]
+    once = np.ones(both.shape[1], bool)
+    once[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+    return both[:, once]
 
 
 def _run(run: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Pairs of one run: rows at level 0 with all, rows at level 1 with each other where two errors are allowed."""
-    size, level = run[0] >> np.uint64(8) & np.uint64(_CAP), run[0] & np.uint64(15)
-    run = run[:, np.lexsort((size, level))]
-    level, allowed = run[0] & np.uint64(15), run[0] >> np.uint64(4) & np.uint64(15)
+    run = run[:, np.argsort(run[0] & _LOW, kind="stable")]
+    level, allowed = run[0] & _LOW, run[0] >> np.uint64(2) & _LOW
     n = int(np.searchsorted(level, 1))
     if n:
         yield from _crossed(run[:, :n], run[:, :n], least, True)
@@ -213,19 +282,20 @@ def _run(run: np.ndarray, least: float) -> Iterator[np.ndarray]:
         yield from _crossed(once, once, least, True)
 
 
-def within(rows: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of names (2 x n) among rows sorted by key."""
-    key, found = rows[0] >> np.uint64(24), []
+def within(key: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of names (4 x n) among rows sorted by key."""
+    found = []
     first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
     length = np.diff(np.append(first, len(key)))
     for a, n in zip(first[length >= _SHORT].tolist(), length[length >= _SHORT].tolist()):
         found.extend(_run(rows[:, a : a + n], least))
-    short = rows[:, np.repeat((length > 1) & (length < _SHORT), length)]
-    key, at, step = short[0] >> np.uint64(24), np.arange(short.shape[1]), 1
-    level, allowed = short[0] & np.uint64(15), short[0] >> np.uint64(4) & np.uint64(15)
+    some = np.repeat((length > 1) & (length < _SHORT), length)
+    short, key, step = rows[:, some], key[some], 1
+    at = np.arange(short.shape[1])
+    level, allowed = short[0] & _LOW, short[0] >> np.uint64(2) & _LOW
     # a first limit for all: the largest difference that the set of the row may have
-    limit = np.minimum(most_different(np.floor((short[0] >> np.uint64(8) & np.uint64(_CAP)) * (1 + 1 / least)), least), 64).astype(np.uint8)
-    limit[(short[0] >> np.uint64(8) & np.uint64(_CAP)) == _CAP] = 64
+    limit = np.minimum(most_different(np.floor(_size(short[0]) * (1 + 1 / least)), least), 64).astype(np.uint8)
+    limit[_size(short[0]) == _CAP] = 64
     while True:
         at = at[at + step < short.shape[1]]
         at = at[key[at + step] == key[at]]
@@ -235,7 +305,7 @@ def within(rows: np.ndarray, least: float) -> np.ndarray:
         i = i[level[i] + level[i + step] <= np.minimum(allowed[i], allowed[i + step])]
         if len(i):
             i = i[_meet(short[:, i], short[:, i + step], least)]
-            found.append(short[1, np.stack([i, i + step])] >> np.uint64(32))
+            found.append(_both(short[:, i], short[:, i + step]))
         step += 1
 
 
@@ -244,97 +314,183 @@ def between(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return _pairs(list(_crossed(x, y, least, False)))
 
 
-_MET = "a long, b long, r0 long, r1 long, r2 long, block int"
+def packed(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of 20 bytes: key 48 bits | size 12 | errors 2 | level 2, then the sketch."""
+    out = np.empty((len(key), _ROW), np.uint8)
+    out[:, :8] = (((key & _KEY) << np.uint64(16)) | rows[0]).astype("<u8")[:, None].view(np.uint8)
+    out[:, 8:16] = rows[2].astype("<u8")[:, None].view(np.uint8)
+    out[:, 16:] = rows[1].astype("<u4")[:, None].view(np.uint8)
+    return out
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key, rows) of packed rows, sorted by key."""
+    a = np.frombuffer(raw, np.uint8).reshape(-1, _ROW)
+    head = np.ascontiguousarray(a[:, :8]).view("<u8")[:, 0]
+    order = np.argsort(head, kind="stable")
+    head, a = head[order], a[order]
+    rows = np.stack([head & np.uint64(0xFFFF), np.ascontiguousarray(a[:, 16:]).view("<u4")[:, 0].astype(np.uint64), np.ascontiguousarray(a[:, 8:16]).view("<u8")[:, 0]])
+    return head >> np.uint64(16), rows
+
+
+_MET = "a binary, b binary, slice int, key long, block int, rows binary"
+
 
+def _names(first: np.ndarray, second: np.ndarray) -> pa.Array:
+    raw = np.empty((len(first), 12), np.uint8)
+    raw[:, :8], raw[:, 8:] = first.astype(">u8")[:, None].view(np.uint8), second.astype(">u4")[:, None].view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(0, 12 * (len(first) + 1), 12, dtype=np.int32)), pa.py_buffer(raw)])
 
-def _met(pairs: np.ndarray, rows: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    n, k = pairs.shape[1], rows.shape[1]
-    void = lambda c: pa.nulls(c, pa.int64())
-    cols = [pa.concat_arrays([pa.array(p.astype(np.int64)), void(k)]) for p in pairs] + [pa.concat_arrays([void(n), pa.array(r.view(np.int64))]) for r in rows]
-    return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(block.astype(np.int32))])], names=["a", "b", "r0", "r1", "r2", "block"])
 
+def _met(pairs: np.ndarray, blocks: list[tuple[int, int, int, bytes]] = ()) -> pa.RecordBatch:
+    n, k = pairs.shape[1], len(blocks)
+    cols = [pa.concat_arrays([_names(pairs[i], pairs[i + 1]), pa.nulls(k, pa.binary())]) for i in (0, 2)]
+    for i, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary())):
+        cols.append(pa.concat_arrays([pa.nulls(n, kind), pa.array([b[i] for b in blocks], kind)]))
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "slice", "key", "block", "rows"])
 
-def _join(least: float, run: int):
-    """Over rows sorted by key: pairs of the runs of up to ``run`` rows; the rows of longer runs go through, numbered in blocks."""
-    none, no_rows = np.zeros((2, 0), np.uint64), np.zeros((3, 0), np.uint64)
+
+def _join(least: float, run: int, hold: int = 1 << 22):
+    """Over packed rows sorted by slice: the pairs of runs of up to ``run`` rows; the rows of longer runs go through, in numbered blocks.
+
+    At most ``hold`` rows of a slice are held, and those of keys that have not
+    shown to be long; the rows of a long key go on as they come.
+    """
+    none = np.zeros((4, 0), np.uint64)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, through = no_rows, 0  # through: rows of the last run that have gone through already
-        last = None
-
-        def done(rows: np.ndarray, final: bool):
-            nonlocal held, through, last
-            key = rows[0] >> np.uint64(24)
-            cut = rows.shape[1] if final else int(np.searchsorted(key, key[-1]))
-            whole, rest = rows[:, :cut], rows[:, cut:]
-            if through and whole.shape[1]:  # the rest of the long run that was begun
-                end = int(np.searchsorted(key[:cut], last, side="right"))
-                if end:
-                    yield _met(none, whole[:, :end], (through + np.arange(end)) // run)
-                whole, through = whole[:, end:], 0
-            if whole.shape[1]:
-                k = whole[0] >> np.uint64(24)
-                first = np.flatnonzero(np.diff(k, prepend=k[:1] ^ np.uint64(1)))
-                length = np.diff(np.append(first, len(k)))
-                long = np.repeat(length > run, length)
-                yield _met(within(whole[:, ~long], least), whole[:, long], ((np.arange(len(k)) - np.repeat(first, length)) // run)[long])
-            if rest.shape[1] > run or through and rest.shape[1]:
-                yield _met(none, rest, (through + np.arange(rest.shape[1])) // run)
-                through, last, rest = through + rest.shape[1], rest[0, 0] >> np.uint64(24), no_rows
-            held = rest
-
-        parts, size = [], 0
+        held: list[bytes] = []
+        long: dict[int, int] = {}  # key -> rows that have gone on
+        size, now = 0, None
+
+        def settle(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if not size:
+                return
+            key, rows = unpacked(b"".join(held))
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
+            length = np.diff(np.append(first, len(key)))
+            known = np.isin(key[first], np.array(list(long), np.uint64)) if long else np.zeros(len(first), bool)
+            blocks = []
+            for at, n in zip(first[known | (length > run)].tolist(), length[known | (length > run)].tolist()):
+                k = int(key[at])
+                while n:
+                    gone = long.get(k, 0)
+                    take = min(n, run - gone % run)
+                    blocks.append((now, k, gone // run, packed(key[at : at + take], rows[:, at : at + take]).tobytes()))
+                    long[k] = gone + take
+                    at, n = at + take, n - take
+            rest = np.repeat(~known & (length <= run), length)
+            if final:
+                yield _met(within(key[rest], rows[:, rest], least), blocks)
+                held, size = [], 0
+            else:
+                yield _met(none, blocks)
+                held = [packed(key[rest], rows[:, rest]).tobytes()]
+                size = int(rest.sum())
+
         for batch in batches:
-            parts.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).view(np.uint64))
-            size += batch.num_rows
-            if size >= 1 << 18:
-                yield from done(np.concatenate([held, *parts], axis=1), False)
-                parts, size = [], 0
-        rows = np.concatenate([held, *parts], axis=1)
-        if rows.shape[1]:
-            yield from done(rows, True)
+            for s, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != now:
+                    yield from settle(True)
+                    now, limit = s, hold
+                    long.clear()
+                held.append(raw)
+                size += len(raw) // _ROW
+                if size > limit:
+                    yield from settle(False)
+                    limit = max(hold, 2 * size)
+        yield from settle(True)
 
     return go
 
 
 def _tile(least: float):
     def go(table: pa.Table) -> pa.Table:
-        rows = np.stack([table.column(c).to_numpy() for c in ("r0", "r1", "r2")]).view(np.uint64)
-        side = table.column("block").to_numpy()
-        blocks = np.unique(side)
-        pairs = within(rows, least) if len(blocks) == 1 else between(rows[:, side == blocks[0]], rows[:, side == blocks[1]], least)
-        return pa.table({"a": pa.array(pairs[0].astype(np.int64)), "b": pa.array(pairs[1].astype(np.int64))})
+        side = np.array(table.column("block").to_pylist())
+        rows = {b: unpacked(b"".join(r for r, s in zip(table.column("rows").to_pylist(), side.tolist()) if s == b)) for b in np.unique(side).tolist()}
+        (key, one), *two = rows.values()
+        pairs = between(one, two[0][1], least) if two else within(key, one, least)
+        return pa.table({"a": _names(pairs[0], pairs[1]), "b": _names(pairs[2], pairs[3])})
 
     return go
 
 
-def candidate_pairs(rows: DataFrame, least: float, run: int = RUN) -> DataFrame:
-    """(a, b): names of sets that share an anchor and pass the sketch. rows: (r0, r1, r2), see anchor_rows."""
-    key = F.shiftrightunsigned("r0", 24)
-    ordered = rows.repartition(key).sortWithinPartitions(key)
+def _together(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about ``most`` characters."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t)
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def _slices(shared, least: float, slices: int):
+    """Packed anchor rows of texts, by slice of the key; a slice gets one row a batch."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Tokens = shared.value
+        for batch in batches:
+            for texts in _together(batch.column(0).to_pylist()):
+                key, rows = anchor_rows([list(set(words(t))) for t in texts], tokens, least)
+                where = ((key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((key, where))
+                raw, where = packed(key[order], rows[:, order]), where[order]
+                cuts = np.flatnonzero(np.diff(where, prepend=-1))
+                ends = np.append(cuts[1:], len(where)) * _ROW
+                offsets = np.concatenate([cuts * _ROW, ends[-1:]]).astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+                yield pa.RecordBatch.from_arrays([pa.array(where[cuts].astype(np.int32)), blob], names=["slice", "rows"])
+
+    return go
+
+
+def candidate_pairs(anchors: DataFrame, tasks: int, least: float, run: int = RUN) -> DataFrame:
+    """(a, b): names of sets that share a key and pass the sketch. anchors (slice, rows): packed rows, _SLICES slices a task."""
+    ordered = anchors.repartitionById(tasks, F.col("slice") % tasks).sortWithinPartitions("slice")
     met = durable(ordered.mapInArrow(_join(least, run), _MET))
     pairs = met.where("a IS NOT NULL").select("a", "b")
-    long = met.where("block IS NOT NULL").select("r0", "r1", "r2", "block", key.alias("key"))
+    long = met.where("block IS NOT NULL").select("slice", "key", "block", "rows")
     if long.limit(1).count():
-        blocks = long.groupBy("key").agg(F.max("block").alias("last"))
+        blocks = long.groupBy("slice", "key").agg(F.max("block").alias("last"))
         tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"))))
-        spread = long.join(blocks, "key").select("key", tiles.alias("t"), "r0", "r1", "r2", "block").select("key", "t.p", "t.q", "r0", "r1", "r2", "block")
-        pairs = pairs.unionByName(spread.groupBy("key", "p", "q").applyInArrow(_tile(least), "a long, b long"))
+        spread = long.join(blocks, ["slice", "key"]).select("slice", "key", tiles.alias("t"), "rows", "block").select("slice", "key", "t.p", "t.q", "rows", "block")
+        pairs = pairs.unionByName(spread.groupBy("slice", "key", "p", "q").applyInArrow(_tile(least), "a binary, b binary"))
     return pairs.distinct()
 
 
-def _set_key(tokens: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest("\n".join(sorted(set(tokens))))
+def _set_key(tokens: set[str]) -> bytes:
+    return xxhash.xxh3_128_digest("\n".join(sorted(tokens)))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, version, text) to the digests of the text: its words in order, its record, its set of words."""
     for batch in batches:
         rows = []
-        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for text in batch.column(2).to_pylist():
+            if text is None:
+                rows.append((None, None, None))
+                continue
             tree, seq = record(text), Node.leaf(text)
-            tokens = seq.form.split(" ") if seq.form else []
-            rows.append((key, seq.digest, tree and tree.digest, _set_key(tokens) if tokens else None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.string(), *[pa.binary()] * 3])], names=["id", "seq", "rec", "words"])
+            rows.append((seq.digest, tree and tree.digest, _set_key(set(seq.form.split(" "))) if seq.form else None))
+        cols = zip(*rows) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in cols)], names=[*batch.schema.names[:2], "seq", "rec", "words"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (words, name, text): the digest of its set of words and the sketch it goes by; texts without a word are left out."""
+    for batch in batches:
+        texts = [(t, s) for t in batch.column(0).to_pylist() if (s := set(words(t)))]
+        keys, names = [_set_key(s) for _, s in texts], pa.array([], pa.binary())
+        if texts:
+            sizes = np.array([len(s) for _, s in texts])
+            s1, s2 = sketches(_HASHES.of([w for _, s in texts for w in s]), np.cumsum(sizes) - sizes)
+            names = _names(s1, s2)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), names, pa.array([t for t, _ in texts], pa.string())], names=["words", "name", "t"])
 
 
 def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,100 +509,137 @@ def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _name(set_key: bytes) -> int:
-    return int.from_bytes(set_key[:4], "big")
+def _similar(least: float):
+    def go(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        """Pairs of names and the texts under these names: the pairs of sets that are similar, by their words."""
+        sets: dict[bytes, list[tuple[bytes, set[str]]]] = {}
+        for name, key, text in zip(*(texts.column(c).to_pylist() for c in ("name", "words", "t"))):
+            sets.setdefault(name, []).append((key, set(words(text))))
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            for ka, x in sets.get(a, ()):
+                for kb, y in sets.get(b, ()):
+                    if ka == kb or a == b and ka > kb:
+                        continue
+                    common = len(x & y)
+                    if common >= least * (len(x) + len(y) - common) - 1e-9:
+                        out.append((ka, kb, common / (len(x) + len(y) - common)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.binary(), pa.binary(), pa.float64()])], names=["a", "b", "similarity"])
 
+    return go
 
-def _rows(shared, least: float):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Tokens = shared.value
-        for batch in batches:
-            texts, keys = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(texts), 4096):
-                rows = anchor_rows([list(set(words(t))) for t in texts[i : i + 4096]], np.array([_name(k) for k in keys[i : i + 4096]], np.uint64), tokens, least)
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["r0", "r1", "r2"])
 
-    return go
+#: Pairs of names verified in one group.
+_VERIFIED = 4096
 
 
-def _similar(least: float):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = set(words(ta)), set(words(tb))
-                common = len(x & y)
-                if common >= least * (len(x) + len(y) - common) - 1e-9:
-                    out.append((a, b, common / (len(x) + len(y) - common)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.binary(), pa.binary(), pa.float64()])], names=["a", "b", "similarity"])
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) by the digests of sets, of the pairs (a, b) of names whose sets are similar.
 
-    return go
+    Pairs with near names in common go to one group, so that a text travels
+    once a group and not once a pair; a name with very many partners is salted.
+    """
+    ends = pairs.select(F.col("a").alias("n"), F.least("a", "b").alias("o")).unionByName(pairs.select(F.col("b").alias("n"), F.least("a", "b").alias("o")))
+    near = ends.groupBy("n").agg(F.min("o").alias("lead"), F.count("*").alias("deg"))
+    led = pairs.join(near.withColumnRenamed("n", "a"), "a")
+    groups = max(1, -(-pairs.count() // _VERIFIED))
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / _VERIFIED))
+    grouped = led.select("a", "b", F.pmod(F.xxhash64("lead", salt), F.lit(groups)).alias("g"))
+    need = grouped.select("g", F.explode(F.array("a", "b")).alias("name")).distinct()
+    texts = sets.join(need, "name").select(F.col("g").alias("u"), "name", "words", "t")
+    return grouped.groupBy("g").cogroup(texts.groupBy("u")).applyInArrow(_similar(least), "a binary, b binary, similarity double")
 
 
 class NearDuplicates:
     """Near-duplicates of a table of texts.
 
     members: id, class_id (copies that differ in formatting only), words (the
-    distinct set of words). links: class_a < class_b, similarity, one row for
-    every two classes whose sets of distinct words have at least ``least`` of
-    their union in common.
+    distinct set of words). similar: a, b, similarity by ``words``, one row for
+    every two sets that have at least ``least`` of their union in common.
     """
 
-    def __init__(self, items: DataFrame, key: str, text: str, least: float = 0.8, run: int = RUN):
-        # read four times, so it is kept: in memory or on the executors' disks, made again where an executor is lost
-        own = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).persist()
-        keyed = durable(own.mapInArrow(_keys, "id string, seq binary, rec binary, words binary"))
-        self.members = durable(classes_of(keyed, "words").where("words IS NOT NULL"))
-        sets = self.members.groupBy("words").agg(F.min("id").alias("id"))
+    def __init__(self, items: DataFrame, key: str, text: str, least: float = 0.8, run: int = RUN, version: str | None = None):
+        if not 0.5 <= least <= 1:
+            raise ValueError("least must be between 0.5 and 1")
+        own = items.where(F.col(key).isNotNull())
+        # the digests of all rows are narrow: the latest version of an id is found among them, not among the texts
+        keyed = own.select(F.col(key).cast("string").alias("id"), F.col(version).alias("version") if version else F.lit(0).alias("version"), F.col(text).alias("t"))
+        kind = keyed.schema["version"].dataType.simpleString()
+        digests = keyed.mapInArrow(_keys, f"id string, version {kind}, seq binary, rec binary, words binary")
+        if version:
+            newest = digests.groupBy("id").agg(F.max(F.struct("version", "seq", "rec", "words")).alias("m")).select("id", "m.seq", "m.rec", "m.words")
+        else:
+            newest = digests.select("id", "seq", "rec", "words").distinct()
+        self.members = durable(classes_of(durable(newest.where("words IS NOT NULL")), "words"))
         # a text for each distinct set of words; the copies end here
-        texts = own.join(sets, "id")
-        counts = own.select("t").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        every = own.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(_sets, "words binary, name binary, t string")
+        sets = durable(every.groupBy("words").agg(F.first("name").alias("name"), F.first("t").alias("t")))
+        n = sets.count()
+        counts = sets.select("t").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
         head = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-        n = max(1, self.members.count())
-        shared = own.sparkSession.sparkContext.broadcast(Tokens([r["word"] for r in head], [r["c"] / n for r in head]))  # HEAD words at most
-        rows = texts.select("t", "words").mapInArrow(_rows(shared, least), "r0 long, r1 long, r2 long")
-        found = candidate_pairs(rows, least, run)
-        # names are the first bytes of a set's key: where two sets share one, both are looked at
-        named = sets.select("words", "id", F.conv(F.hex(F.substring("words", 1, 4)), 16, 10).cast("long").alias("name"))
-        pairs = found.join(named.select(F.col("name").alias("a"), F.col("words").alias("wa"), F.col("id").alias("ia")), "a").join(named.select(F.col("name").alias("b"), F.col("words").alias("wb"), F.col("id").alias("ib")), "b")
-        full = pairs.select("wa", "wb", "ia", "ib").join(own.select(F.col("id").alias("ia"), F.col("t").alias("ta")), "ia").join(own.select(F.col("id").alias("ib"), F.col("t").alias("tb")), "ib")
-        self.similar = full.select("wa", "wb", "ta", "tb").mapInArrow(_similar(least), "a binary, b binary, similarity double")
+        shared = own.sparkSession.sparkContext.broadcast(Tokens([r["word"] for r in head], [r["c"] / max(1, n) for r in head], n))  # HEAD words at most
+        tasks = max(own.sparkSession.sparkContext.defaultParallelism, -(-n * 40 * _ROW // _TASK))
+        anchors = sets.select("t").mapInArrow(_slices(shared, least, tasks * _SLICES), "slice int, rows binary")
+        found = candidate_pairs(anchors, tasks, least, run)
+        # different sets of one sketch are looked at as well
+        twins = sets.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select(F.col("name").alias("a"), F.col("name").alias("b"))
+        self.similar = verified(durable(found.unionByName(twins)), sets, least)
+
+    def _named(self, end: str) -> DataFrame:
+        return self.members.select(F.col("words").alias(end), F.col("class_id").alias("c" + end)).distinct()
+
+    def _linked(self, same: DataFrame | None = None) -> DataFrame:
+        both = self.similar.join(self._named("a"), "a").join(self._named("b"), "b").select("ca", "cb", "similarity")
+        both = (both if same is None else both.unionByName(same)).where("ca <> cb")
+        return both.groupBy(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b")).agg(F.max("similarity").alias("similarity"))
 
     @property
     def links(self) -> DataFrame:
-        classes = self.members.select("words", "class_id").distinct()
-        one, two = classes.select(F.col("words").alias("a"), F.col("class_id").alias("ca")), classes.select(F.col("words").alias("b"), F.col("class_id").alias("cb"))
-        apart = self.similar.join(one, "a").join(two, "b").select("ca", "cb", "similarity")
+        """class_a < class_b, similarity: one row for every two classes with similar sets of words."""
         # classes with one set of words: texts that are reorderings of each other
-        many = classes.groupBy("words").agg(F.count("*").alias("c")).where("c > 1").select("words")
-        some = classes.join(many, "words")
-        same = some.select("words", F.col("class_id").alias("ca")).join(some.select("words", F.col("class_id").alias("cb")), "words").select("ca", "cb", F.lit(1.0).alias("similarity"))
-        both = apart.unionByName(same).where("ca <> cb")
-        return both.groupBy(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b")).agg(F.max("similarity").alias("similarity"))
-
+        return self._linked(self._named("a").join(self._named("b"), F.col("a") == F.col("b")).select("ca", "cb", F.lit(1.0).alias("similarity")).where("ca < cb"))
 
-def near_duplicates(items: DataFrame, key: str, text: str, least: float = 0.8, run: int = RUN) -> NearDuplicates:
-    """Texts whose sets of distinct words have at least ``least`` of their union in common.
+    def degrees(self) -> DataFrame:
+        """(c, links): the number of links of each class that has any."""
+        own = self._named("a").groupBy("a").agg(F.count("*").alias("n"))
+        same = self._named("a").join(own, "a").select(F.col("ca").alias("c"), (F.col("n") - 1).alias("k"))
+        ends = self._linked().select(F.explode(F.array("class_a", "class_b")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+        return same.unionByName(ends).groupBy("c").agg(F.sum("k").alias("links")).where("links > 0")
 
-    No pair is lost: the words fall into parts by their hash; two sets that
-    differ in d elements differ in two at most in one of d / 3 parts, where
-    they share an anchor, a hash of the two rarest words that both parts keep.
-    Anchors with a 96-bit parity sketch of the whole set are joined on the
-    anchor; pairs whose sketches differ in more bits than such sets may in
-    words are dropped, the others are verified on the words themselves.
-
-    Texts that are copies but for formatting are one class and are not linked
-    with each other; a set of words is sketched once, however many texts have
-    it. Runs of more than ``run`` rows of one anchor are compared in tiles.
-    Null keys or texts and texts without a word have no links; an empty table
-    gives none.
+    @property
+    def stars(self) -> DataFrame:
+        """As links, but classes of one set of words are linked with the least of them only: enough to find groups."""
+        least = self._named("a").groupBy("a").agg(F.min("ca").alias("cb"))
+        return self._linked(self._named("a").join(least, "a").select("ca", "cb", F.lit(1.0).alias("similarity")))
+
+
+def near_duplicates(items: DataFrame, key: str, text: str, least: float = 0.8, run: int = RUN, version: str | None = None) -> NearDuplicates:
+    """Texts whose sets of distinct words have at least ``least`` (0.5 or more) of their union in common.
+
+    Every set goes by a 96-bit parity sketch: each word flips a bit, so two
+    sketches differ in no more bits than the sets in words. No pair is lost: in
+    each band of sizes the words fall into parts by their hash, half as many as
+    a pair may have errors; by the pigeonhole principle the errors of some part
+    are no more than were allotted to it (see allotted), and there the parities
+    (XOR) of the rarest words that both parts keep are equal. Rows are joined
+    on that key; pairs whose sketches differ in more bits than such sets may in
+    words are dropped, the others are verified on the words themselves. Keys
+    take more words as the collection grows, so that their runs stay short.
+
+    Where ``version`` names a column, the row of the greatest version of a key
+    counts (nulls are least; among equal ones the greatest digest). Texts that
+    are copies but for formatting are one class and are not linked with each
+    other; a set of words is sketched once, however many texts have it. Runs of
+    more than ``run`` rows of one key are compared in tiles. Null keys or texts
+    and texts without a word have no links; rows of one key with unlike texts
+    (and no version) each count; an empty table gives none.
     """
-    return NearDuplicates(items, key, text, least, run)
+    return NearDuplicates(items, key, text, least, run, version)
 
 
 def memory_pairs(memories: DataFrame, least: float = 0.7) -> DataFrame:
     """(id_a, id_b): every two memories that are not copies but near-duplicates."""
-    near = near_duplicates(latest(memories, "content"), "id", "content", least)
+    near = near_duplicates(memories, "id", "content", least, version="updated_at")
     one, two = near.members.select(F.col("id").alias("ia"), F.col("class_id").alias("class_a")), near.members.select(F.col("id").alias("ib"), F.col("class_id").alias("class_b"))
     pairs = near.links.join(one, "class_a").join(two, "class_b")
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
@@ -458,7 +651,8 @@ def groups(near: NearDuplicates) -> DataFrame:
     Least labels are passed on along the links and then along the labels
     (pointer jumping), so the rounds grow with the logarithm of a chain.
     """
-    links = durable(near.links.select("class_a", "class_b"))
+    links = durable(near.stars.select("class_a", "class_b"))
+    degree = near.degrees()
     both = links.unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     label = durable(near.members.select(F.col("class_id").alias("c")).distinct().withColumn("l", F.col("c")))
     while True:
@@ -469,6 +663,5 @@ def groups(near: NearDuplicates) -> DataFrame:
         if not new.where("m <> l").limit(1).count():
             break
         label = new.select("c", F.col("m").alias("l"))
-    degree = both.groupBy(F.col("class_a").alias("c")).agg(F.count("*").alias("links"))
     named = label.join(degree, "c", "left").select(F.col("c").alias("class_id"), F.col("l").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return near.members.select("id", "class_id").join(named, "class_id").select("id", F.hex("class_id").alias("class_id"), F.hex("group_id").alias("group_id"), "links")

@@ -113,8 +113,9 @@ def test_copies_by_format(spark):
 # ---- 4 ----
 
 
+@pytest.mark.parametrize("crowd", [1, 10_000, 10**9])
 @pytest.mark.parametrize("least", [0.5, 0.7, 0.8, 0.9])
-def test_anchors_lose_no_pair(least):
+def test_anchors_lose_no_pair(least, crowd):
     r = random.Random(5)
     voc = [f"w{i}" for i in range(60)]
     sets = []
@@ -127,9 +128,17 @@ def test_anchors_lose_no_pair(least):
                 z.symmetric_difference_update({r.choice(voc)})
             sets.append(z)
     sets = list({frozenset(s) for s in sets})
-    rows = neardup.anchor_rows([list(s) for s in sets], np.arange(len(sets)).astype(np.uint64), neardup.Tokens(voc[:20], [0.5] * 20), least).view(np.uint64)
-    rows = rows[:, np.argsort(rows[0], kind="stable")]
-    found = {tuple(map(int, p)) for p in neardup.within(rows, least).T}
+    key, rows = neardup.anchor_rows([list(s) for s in sets], neardup.Tokens(voc[:20], [0.5] * 20, crowd), least)
+    key, rows = neardup.unpacked(neardup.packed(key, rows).tobytes())
+    names = {}
+    for i, s in enumerate(sets):
+        if s:
+            h = neardup._HASHES.of(sorted(s))
+            names.setdefault(tuple(int(x[0]) for x in neardup.sketches(h, np.array([0]))), []).append(i)
+    found = set()
+    for a1, a2, b1, b2 in neardup.within(key, rows, least).T.tolist():
+        found |= {(min(i, j), max(i, j)) for i in names[a1, a2] for j in names[b1, b2]}
+    found |= {(i, j) for same in names.values() for i in same for j in same if i < j}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-12}
     assert want <= found
 
@@ -291,3 +300,17 @@ def test_spans_equal_brute_force(spark):
     share = {x["doc_id"]: x["share"] for x in spans.shared_share(df, found).collect()}
     assert share[104] == 1.0 and all(0 < s <= 1 for s in share.values())
     assert spans.shared_spans(df.limit(0)).count() == 0
+
+
+def test_twins_and_hot_keys_lose_no_pair(spark):
+    """Sets with equal sketches, and one boilerplate that all texts share, in blocks of 3 rows and with 5 rows held."""
+    base = [f"b{i}" for i in range(12)]
+    df = memories(spark, [(f"m{i:02d}", " ".join([*base, f"x{i}"])) for i in range(30)])
+    near = neardup.near_duplicates(df, "id", "content", 0.8, 3)
+    assert near.links.count() == 30 * 29 // 2
+    near = neardup.near_duplicates(df, "id", "content", 0.8)
+    degrees = {r["links"] for r in neardup.groups(near).collect()}
+    assert degrees == {29}
+    two = df.where("id < 'm01'").selectExpr("id", "content", "timestamp_ntz'2025-01-01' AS at").unionByName(df.where("id = 'm05'").selectExpr("'m00' AS id", "content", "timestamp_ntz'2025-02-01' AS at"))
+    assert [r["words"] for r in neardup.near_duplicates(two, "id", "content", 0.8, version="at").members.collect()] == [r["words"] for r in near.members.where("id = 'm05'").collect()]
+    assert neardup.near_duplicates(df.limit(0), "id", "content").links.count() == 0
