@@ -42,6 +42,12 @@ def valid_at(when: Column, prefix: str = "") -> Column:
     return (lo.isNull() | (lo <= when)) & (hi.isNull() | (hi > when))
 
 
+def edge_active(when: Column, prefix: str = "") -> Column:
+    """Of edges: valid_from <= when <= valid_to, null being unbounded. Unlike a node, an edge still counts at the moment in which it ends."""
+    lo, hi = F.col(prefix + "valid_from"), F.col(prefix + "valid_to")
+    return (lo.isNull() | (lo <= when)) & (hi.isNull() | (hi >= when))
+
+
 def json_text(column: str, path: str) -> Column:
     """A scalar out of a JSON text; null where the text is no JSON."""
     return F.get_json_object(column, path)

@@ -49,20 +49,25 @@ def themes(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, queries
     return pairs.join(known, ["src", "dst"], "left_anti")
 
 
+#: Tags of memories that someone has looked at.
+REVIEWED = ("agent-curated", "agent-verified", "human-verified")
+
+
 def clusters(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component, keep): memories joined by near pairs (src, dst) within a namespace and kind; the winner of each is kept.
 
-    The winner is the one of the first tier (decision, insight, pattern before
-    the rest) and of the greatest importance; ties by id.
+    The winner is the one of the first tier (tagged as curated or verified, then
+    the rest, then archived) and of the greatest importance; ties by id.
     """
-    own = memories.select("id", F.coalesce("namespace", F.lit("")).alias("ns"), S.memory_type().alias("kind"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    tier = F.when(F.arrays_overlap(tags, F.array(*map(F.lit, REVIEWED))), 0).when(F.array_contains(tags, "archived"), 2).otherwise(1)
+    own = memories.select("id", F.coalesce("namespace", F.lit("")).alias("ns"), S.memory_type().alias("kind"), F.coalesce("importance", F.lit(0.0)).alias("importance"), tier.alias("tier"))
     a, b = own.select(F.col("id").alias("src"), F.col("ns").alias("na"), F.col("kind").alias("ka")), own.select(F.col("id").alias("dst"), F.col("ns").alias("nb"), F.col("kind").alias("kb"))
     same = durable(pairs.join(a, "src").join(b, "dst").where((F.col("na") == F.col("nb")) & F.col("ka").eqNullSafe(F.col("kb"))).select("src", "dst"))  # read twice
     ids = same.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     comp = components(ids, same)
-    tier = F.when(F.col("kind").isin("decision", "insight", "pattern"), 0).otherwise(1)
     joined = comp.join(own, "id")
-    win = joined.groupBy("component").agg(F.min(F.struct(tier.alias("t"), (-F.col("importance")).alias("i"), "id")).alias("m")).select("component", F.col("m.id").alias("winner"))
+    win = joined.groupBy("component").agg(F.min(F.struct(F.col("tier").alias("t"), (-F.col("importance")).alias("i"), "id")).alias("m")).select("component", F.col("m.id").alias("winner"))
     return joined.join(win, "component").select("id", "component", (F.col("id") == F.col("winner")).alias("keep"))
 
 

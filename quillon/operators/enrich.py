@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,6 +16,9 @@ CREDENTIAL = r"""(?i)(password|secret|api_key|apikey|token|private_key)\s*[:=]\s
 SQL_CONCAT = r"""(?i)(SELECT|INSERT|UPDATE|DELETE|DROP)\s+.*\+\s*[a-zA-Z_]|format!\s*\(\s*"[^"]*(?:SELECT|INSERT|UPDATE|DELETE)"""
 UNSAFE = r"unsafe\s*\{"
 
+#: Kinds of symbols that should have documentation.
+DOCUMENTED = ("function", "method", "class", "interface", "type")
+
 SYMBOLS = ("function", "method", "class", "struct", "trait", "interface")
 
 
@@ -56,10 +56,11 @@ def api_surface(nodes: DataFrame) -> DataFrame:
     return known.select("file_path", "public", (F.col("all") - F.col("public")).alias("private"), (F.col("public") / F.col("all")).alias("share"))
 
 
-def doc_coverage(chunks: DataFrame, below: float | None = None) -> DataFrame:
-    """(file_path, documented, symbols, share): symbols of a file whose text has a comment, of all symbols with code."""
-    doc = F.col("text").rlike(r'(?m)^\s*(///|//!|/\*\*|\#|//|""")')
-    sym = chunks.where("parent_symbol IS NOT NULL").groupBy("file_path", "parent_symbol").agg(F.max(doc).alias("d"))
+def doc_coverage(nodes: DataFrame, below: float | None = None) -> DataFrame:
+    """(file_path, documented, symbols, share): of the public symbols of a file, those whose payload has a doc_comment that is not blank."""
+    doc = F.coalesce(F.trim(S.json_text("payload", "$.doc_comment")) != "", F.lit(False))
+    own = nodes.where(F.col("kind").isin(*DOCUMENTED) & (S.json_text("payload", "$.visibility") == "public"))
+    sym = own.select("id", S.json_text("payload", "$.file_path").alias("file_path"), doc.alias("d")).distinct().where("file_path IS NOT NULL")
     out = sym.groupBy("file_path").agg(F.count_if("d").alias("documented"), F.count("*").alias("symbols")).withColumn("share", F.col("documented") / F.col("symbols"))
     return out.where(F.col("share") < below) if below is not None else out
 
@@ -86,35 +87,29 @@ def symbols_per_file(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(*SYMBOLS)).groupBy(path.alias("file_path")).agg(F.countDistinct("id").alias("symbols")).where("file_path IS NOT NULL")
 
 
+#: A line that decides something.
+DECIDES = r"^\s*(?:\}?\s*else\s+)?(?:if|elif|for|while|match|case|switch|catch|except|loop)\b"
+
+
 def complexity(chunks: DataFrame) -> DataFrame:
-    """(id, cyclomatic, cognitive_depth, lines): 1 + lines that decide + && and ||; deepest nesting of braces (of indents where there are none)."""
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        decides = re.compile(r"^\s*(?:\}?\s*else\s+)?(?:if|elif|for|while|match|case|switch|catch|except|loop)\b")
-        for b in batches:
-            out = []
-            for key, text in zip(b["id"], b["text"]):
-                lines = re.split(r"\r\n|\r|\n", text)
-                n = 1 + sum(1 for x in lines if decides.match(x)) + text.count("&&") + text.count("||")
-                depth = deepest = 0
-                for c in text:
-                    if c == "{":
-                        depth += 1
-                        deepest = max(deepest, depth)
-                    elif c == "}":
-                        depth = max(0, depth - 1)
-                if not deepest:
-                    deepest = max((len(x) - len(x.lstrip(" "))) // 4 + (len(x) - len(x.lstrip("\t"))) for x in lines)
-                out.append((key, n, deepest, len(lines)))
-            yield pd.DataFrame(out, columns=["id", "cyclomatic", "depth", "lines"])
-
-    return chunks.where("text IS NOT NULL").select("id", "text").mapInPandas(measure, "id string, cyclomatic int, depth int, lines int")
-
-
-def code_smells(chunks: DataFrame) -> DataFrame:
-    """(subject, smell, size, severity): long functions, many parameters, deep nesting, long files."""
+    """(id, cyclomatic, depth, lines): 1 + lines that decide + && and ||; deepest nesting of braces (of indents where there are none)."""
+    lines = F.split("text", r"\r\n|\r|\n", -1)
+    braces = F.filter(F.split(F.regexp_replace("text", r"[^{}]", ""), ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = F.when(c == "{", acc["now"] + 1).otherwise(F.greatest(F.lit(0), acc["now"] - 1))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    nested = F.aggregate(braces, start, step, lambda acc: acc["most"])
+    indent = F.array_max(F.transform("l", lambda x: (F.length(F.regexp_extract(x, "^ *", 0)) / 4).cast("int") + F.length(F.regexp_extract(x, "^\t*", 0))))
+    own = chunks.where("text IS NOT NULL").select("id", "text", lines.alias("l"), nested.alias("n"))
+    count = F.lit(1) + F.size(F.filter("l", lambda x: x.rlike(DECIDES))) + F.regexp_count("text", F.lit("&&")) + F.regexp_count("text", F.lit(r"\|\|"))
+    return own.select("id", count.alias("cyclomatic"), F.when(F.col("n") > 0, F.col("n")).otherwise(indent).alias("depth"), F.size("l").alias("lines"))
+
+
+def code_smells(chunks: DataFrame, top: int = 50) -> DataFrame:
+    """(subject, smell, size, severity): long functions, many parameters, deep nesting, long files; the ``top`` worst, by severity and size."""
     m = chunks.select("id", "file_path", "line_end", "line_start", F.regexp_extract("text", r"^[^(\n]*\(([^)]*)\)", 1).alias("args"), "node_kind")
     fn = m.where(F.col("node_kind").isin("function_item", "method", "function"))
     length = F.col("line_end") - F.col("line_start") + 1
@@ -123,7 +118,8 @@ def code_smells(chunks: DataFrame) -> DataFrame:
     many = fn.where(params > 5).select("id", F.lit("many_parameters"), params.cast("long"), F.when(params > 8, "high").otherwise("medium"))
     deep = complexity(chunks).where("depth > 4").select("id", F.lit("deep_nesting"), F.col("depth").cast("long"), F.when(F.col("depth") > 6, "high").otherwise("medium"))
     files = chunks.groupBy("file_path").agg(F.max("line_end").alias("n")).where("n > 500").select("file_path", F.lit("long_file"), F.col("n").cast("long"), F.when(F.col("n") > 1000, "high").otherwise("medium"))
-    return long.union(many).union(deep).union(files)
+    every = long.union(many).union(deep).union(files)
+    return every.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), F.col("size").desc(), "subject", "smell").limit(top)
 
 
 def hot_complex(activity: DataFrame, chunks: DataFrame, top: int = 20) -> DataFrame:

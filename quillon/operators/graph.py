@@ -403,10 +403,24 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'memory'").select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
-def decision_chain(memories: DataFrame, edges: DataFrame, text: str) -> DataFrame:
-    """(id, created_at): decisions whose content has the text and all that are connected to them by evolution among decisions, oldest first."""
-    own = memories.where(S.memory_type() == "decision").select("id", "content", "created_at")
-    e = edges.where(F.col("relationship").isin("EVOLVED_INTO", "LEADS_TO", "DERIVED_FROM", "PRECEDED_BY"))
+#: Steps by which one decision comes from another.
+DECISION_STEPS = ("EVOLVED_INTO", "LEADS_TO", "DERIVED_FROM")
+
+
+def decision_chain(memories: DataFrame, edges: DataFrame, topic: str | None = None, file_path: str | None = None, relationships: Sequence[str] = DECISION_STEPS) -> DataFrame:
+    """(id, created_at): the decisions about a topic or file and all decisions connected with them by evolution, oldest first.
+
+    A decision is about a topic if its content or its joined tags contain it,
+    and about a file also if its metadata name it; letter case does not count.
+    """
+    if topic is None and file_path is None:
+        raise ValueError("a topic or a file_path is needed")
+    own = memories.where(S.memory_type() == "decision")
+    text = F.lit((file_path if file_path is not None else topic).lower())
+    about = F.contains(F.lower("content"), text) | F.contains(F.lower(F.array_join("tags", " ")), text)
+    if file_path is not None:
+        about = F.coalesce(about, F.lit(False)) | F.contains(F.lower(S.json_text("metadata", "$.file_path")), text)
+    seeds = own.where(about).select("id")
+    e = edges.where(F.col("relationship").isin(*relationships))
     e = e.join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi")
-    seeds = own.where(F.contains(F.lower("content"), F.lit(text.lower()))).select("id")
     return own.join(reachable(e, seeds), "id", "left_semi").select("id", "created_at").orderBy("created_at", "id")

@@ -56,7 +56,7 @@ def new_insights(incoming: DataFrame, vectors: DataFrame, existing: DataFrame, a
 
 
 def active_edges(edges: DataFrame, when: str | Column) -> DataFrame:
-    return edges.where(S.valid_at(S.when_of(when)))
+    return edges.where(S.edge_active(S.when_of(when)))
 
 
 def traverse_at(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, when: str | Column, direction: str = "both") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +26,74 @@ def reference_edges(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("weight", edge_weight(F.col("relationship")) * F.col("confidence"))
 
 
-def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, symbol, confidence): the best symbol for each reference (ref_id, name, package) in four tiers.
+def _suffixes(column: str) -> Column:
+    """The qualified names that a qualified name ends with, itself included."""
+    parts = F.split(column, "::")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
 
-    Exact qualified name 1.0; the name as suffix of a qualified name 0.8; the
-    simple name where only one symbol has it 0.9, else 0.7 in the same package
-    and 0.3 elsewhere. Each tier is an equi join: suffixes are made on the
-    symbols' side. Ties by symbol.
+
+def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref_id, symbol, confidence): the symbol that each reference (ref_id, name, file_path, kind) means, by the first rule that gives one.
+
+    symbols (symbol, file_path), by qualified name. Rules: the qualified name
+    1.0; without ``crate::`` 0.95, as the end of one 0.85; with ``crate::`` in
+    front 0.9, as the end of one 0.8 (both for names with ``::``); the last
+    segment, if one symbol has it 0.9 (0.7 if the name had more segments), else
+    the best of those that have it: 0.3 and half of 0.4 (imported in that file)
+    + 0.3 (same file) + 0.2 (whole name) + 0.1 (same folder). Every rule is an
+    equi join: ends of names are made on the symbols' side. Ties by length and
+    name.
     """
-    sym = symbols.select("symbol", "package").distinct()
-    parts = F.split("symbol", "::")
-    suffix = sym.select("symbol", "package", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))).alias("name"))
-    ref = references.select("ref_id", "name", F.col("package").alias("own"))
-    alone = suffix.where(~F.contains("name", F.lit("::"))).groupBy("name").agg(F.count("*").alias("c"))
-    hit = ref.join(suffix, "name").join(alone, "name", "left")
-    simple = ~F.contains("name", F.lit("::"))
-    conf = F.when(F.col("symbol") == F.col("name"), 1.0).when(~simple, 0.8).when(F.col("c") == 1, 0.9).when(F.col("package").eqNullSafe(F.col("own")), 0.7).otherwise(0.3)
-    best = hit.withColumn("confidence", conf).groupBy("ref_id").agg(F.min(F.struct((-F.col("confidence")).alias("n"), F.length("symbol").alias("l"), "symbol")).alias("m"))
+    sym = symbols.groupBy("symbol").agg(F.min("file_path").alias("sf")).withColumn("simple", F.element_at(F.split("symbol", "::"), -1))
+    ends = sym.select("symbol", "sf", F.explode(_suffixes("symbol")).alias("end"))
+    ref = references.select("ref_id", "name", F.col("file_path").alias("rf")).distinct()
+    crate, deep = F.startswith("name", F.lit("crate::")), F.contains("name", F.lit("::"))
+    bare = F.regexp_replace("name", "^crate::", "")
+    asks = [
+        (1, 1.0, F.col("name"), F.lit(True), True),
+        (2, 0.95, bare, crate, True),
+        (3, 0.85, bare, crate, False),
+        (4, 0.9, F.concat(F.lit("crate::"), "name"), deep, True),
+        (5, 0.8, F.col("name"), deep, False),
+    ]
+    hits = None
+    for rule, sure, want, where, whole in asks:
+        one = ref.where(where).select("ref_id", want.alias("end"), F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"), F.lit(whole).alias("whole"))
+        hits = one if hits is None else hits.unionByName(one)
+    named = hits.join(ends.select("end", "symbol"), "end").where(~F.col("whole") | (F.col("end") == F.col("symbol"))).select("ref_id", "rule", "confidence", "symbol")
+    imports = references.where("kind = 'import'").groupBy(F.col("file_path").alias("rf")).agg(F.collect_set("name").alias("imports"))  # of one file
+    alone = sym.groupBy("simple").agg(F.count("*").alias("c"))
+    last = ref.withColumn("simple", F.element_at(F.split("name", "::"), -1)).join(sym, "simple").join(alone, "simple").join(imports, "rf", "left")
+    folder = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, r"/[^/]*$", "")).otherwise("")
+    imported = F.coalesce(F.exists("imports", lambda i: (i == F.col("symbol")) | F.endswith(i, F.col("simple"))), F.lit(False))
+    part = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(0.0)
+    score = part(imported, 0.4) + part(F.col("sf") == F.col("rf"), 0.3) + part(F.col("simple") == F.col("name"), 0.2) + part(folder(F.coalesce("rf", F.lit(""))) == folder(F.coalesce("sf", F.lit(""))), 0.1)
+    sure = F.when(F.col("c") == 1, F.when(F.col("simple") == F.col("name"), 0.9).otherwise(0.7)).otherwise(0.3 + 0.5 * F.least(score, F.lit(1.0)))
+    simple = last.select("ref_id", F.lit(6).alias("rule"), F.round(sure, 9).alias("confidence"), "symbol")
+    best = named.unionByName(simple).groupBy("ref_id").agg(F.min(F.struct("rule", (-F.col("confidence")).alias("n"), F.length("symbol").alias("l"), "symbol")).alias("m"))
     return best.select("ref_id", F.col("m.symbol").alias("symbol"), (-F.col("m.n")).alias("confidence"))
 
 
-def package_hint(reference: str = "name", lang: str = "lang") -> Column:
-    """The package that a reference names, by the rules of its language; null if none."""
+#: Ends of a host name by which the first segment of an import is a place to fetch it from.
+HOST_ENDS = ("com", "org", "io", "net", "dev", "in", "cc", "co")
+
+
+def package_hint(reference: str = "name", kind: str = "kind", builtin: Sequence[str] = tuple(sorted(sys.stdlib_module_names))) -> Column:
+    """The package that an import names, by the shape of the name; null for other kinds, for relative names and for the names in ``builtin``."""
     c = F.col(reference)
     first = lambda sep: F.split_part(c, F.lit(sep), F.lit(1))
-    rust = F.when(~first("::").isin("crate", "self", "super", "std", "core", "alloc"), first("::"))
-    scoped = F.regexp_extract(reference, r"^(@[^/]+/[^/]+)", 1)
-    ts = F.when(F.startswith(c, F.lit(".")) | F.startswith(c, F.lit("/")), None).when(scoped != "", scoped).otherwise(first("/"))
-    go = F.when(F.regexp_count(c, F.lit("/")) >= 2, F.regexp_extract(reference, r"^([^/]+/[^/]+/[^/]+)", 1))
-    return F.when(F.col(lang) == "rust", rust).when(F.col(lang) == "python", F.when(~F.startswith(c, F.lit(".")), first("."))).when(F.col(lang).isin("typescript", "javascript"), ts).when(F.col(lang) == "go", go).when(F.col(lang) == "java", F.regexp_extract(reference, r"^(.*)\.[^.]+$", 1))
+    local = c.rlike(r"^(\.|crate::|super::|self::)")
+    scoped = F.coalesce(F.nullif(F.regexp_extract(reference, r"^(@[^/]*/[^/]*)", 1), F.lit("")), c)
+    host = first("/").rlike(r"\.(" + "|".join(HOST_ENDS) + ")$")
+    by_shape = (
+        F.when(F.startswith(c, F.lit("@")), scoped)
+        .when(F.contains(c, F.lit("/")) & host, c)
+        .when(F.contains(c, F.lit("/")) & (first("/") != ""), first("/"))
+        .when(F.contains(c, F.lit("::")), first("::"))
+        .when(F.contains(c, F.lit(".")), first("."))
+        .when(~c.isin(*builtin), c)
+    )
+    return F.when((F.col(kind) == "import") & ~local, by_shape)
 
 
 def link_packages(pending: DataFrame, registry: DataFrame, symbols: DataFrame) -> DataFrame:

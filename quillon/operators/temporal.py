@@ -77,17 +77,16 @@ def commits_between(nodes: DataFrame, edges: DataFrame, first: str | Column, las
 
 
 def stale_files(nodes: DataFrame, edges: DataFrame, now: str | Column, days: int = 90) -> DataFrame:
-    """(id, last_at, centrality, incoming): living files not touched for ``days`` that still matter (central or referred to).
+    """(id, last_at, centrality, incoming): files not deleted, last MODIFIED_BY a commit more than ``days`` (3650 at most) ago, that still matter (central or referred to).
 
-    Last touch: the latest edge at the file (MODIFIED_BY where there are such).
+    Files without any MODIFIED_BY edge are not known to be stale.
     """
-    when = S.when_of(now)
-    limit = F.timestamp_add("DAY", F.lit(-min(days, 3650)), when)
-    files = nodes.where((F.col("kind") == "file") & (F.col("valid_to").isNull() | (F.col("valid_to") > when))).groupBy("id").agg(F.max("centrality").alias("centrality"))
-    touched = edges.select(F.explode(F.array("src", "dst")).alias("id"), F.coalesce("valid_from", "created_at").alias("at")).groupBy("id").agg(F.max("at").alias("last_at"))
+    limit = F.timestamp_add("DAY", F.lit(-min(days, 3650)), S.when_of(now))
+    files = nodes.where((F.col("kind") == "file") & F.col("valid_to").isNull()).groupBy("id").agg(F.max("centrality").alias("centrality"))
+    touched = edges.where((F.col("relationship") == "MODIFIED_BY") & F.startswith("src", F.lit("file:"))).groupBy(F.col("src").alias("id")).agg(F.max("valid_from").alias("last_at"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("incoming"))
-    joined = files.join(touched, "id").join(into, "id", "left").withColumn("incoming", F.coalesce("incoming", F.lit(0)))
-    return joined.where((F.col("last_at") < limit) & ((F.coalesce("centrality", F.lit(0.0)) > 0) | (F.col("incoming") > 0)))
+    joined = files.join(touched.where(F.col("last_at") < limit), "id").join(into, "id", "left").withColumn("incoming", F.coalesce("incoming", F.lit(0)))
+    return joined.where((F.coalesce("centrality", F.lit(0.0)) > 0) | (F.col("incoming") > 0)).select("id", "last_at", "centrality", "incoming")
 
 
 def drift(nodes: DataFrame, edges: DataFrame, first: str | Column, last: str | Column, top: int = 10) -> DataFrame:

@@ -73,9 +73,11 @@ def test_forget_decay_and_expiry(spark):
 
 
 def test_clusters_keep_the_first_tier(spark):
-    m = spark.createDataFrame([("a", "n", "decision", 0.1), ("b", "n", "decision", 0.9), ("c", "n", "context", 1.0)], "id string, namespace string, memory_type string, importance double")
-    p = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
-    assert rows(C.clusters(m, p).where("keep").select("id")) == [("b",)]
+    kind = "id string, namespace string, memory_type string, importance double, tags array<string>"
+    m = spark.createDataFrame([("a", "n", "decision", 0.1, ["human-verified"]), ("b", "n", "decision", 0.9, None), ("c", "n", "context", 1.0, []), ("d", "n", "decision", 1.0, ["archived"])], kind)
+    p = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d")], "src string, dst string")
+    assert rows(C.clusters(m, p).where("keep").select("id")) == [("a",)]
+    assert rows(C.clusters(m, p.where("src = 'b' AND dst = 'd'")).where("keep").select("id")) == [("b",)]
 
 
 def test_ranges_and_extents(spark):
@@ -138,9 +140,16 @@ def test_matching(spark):
 
 
 def test_resolve_and_fuse(spark):
-    ref = spark.createDataFrame([("r1", "a::f", "p"), ("r2", "f", "p"), ("r3", "g", "p"), ("r4", "nope", "p")], "ref_id string, name string, package string")
-    sym = spark.createDataFrame([("a::f", "p"), ("b::f", "q"), ("c::g", "q")], "symbol string, package string")
-    assert rows(L.resolve(ref, sym)) == [("r1", "a::f", 1.0), ("r2", "a::f", 0.7), ("r3", "c::g", 0.9)]
+    names = [("r1", "a::f"), ("r2", "f"), ("r3", "g"), ("r4", "nope"), ("r5", "crate::a::f"), ("r6", "crate::h"), ("r7", "h"), ("r8", "m::h"), ("r9", "z::g"), ("ra", "n::k")]
+    ref = spark.createDataFrame([(i, n, "d/x.rs", "call") for i, n in names] + [("im", "b::f", "d/x.rs", "import")], "ref_id string, name string, file_path string, kind string")
+    sym = spark.createDataFrame([("a::f", "d/a.rs"), ("b::f", "q/b.rs"), ("c::g", "q/c.rs"), ("l::m::h", "q/c.rs"), ("crate::n::k", "q/k.rs")], "symbol string, file_path string")
+    got = {r["ref_id"]: (r["symbol"], r["confidence"]) for r in L.resolve(ref, sym).collect()}
+    assert got == {
+        "r1": ("a::f", 1.0), "r2": ("a::f", 0.65), "r3": ("c::g", 0.9), "r5": ("a::f", 0.95), "r6": ("l::m::h", 0.85), "r7": ("l::m::h", 0.9),
+        "r8": ("l::m::h", 0.8), "r9": ("c::g", 0.7), "ra": ("crate::n::k", 0.9), "im": ("b::f", 1.0),
+    }
+    hints = spark.createDataFrame([("./a", "import"), ("crate::x", "import"), ("@s/p/q", "import"), ("github.com/a/b", "import"), ("lodash/merge", "import"), ("tokio::sync", "import"), ("requests.api", "import"), ("json", "import"), ("flask", "import"), ("flask", "call")], "name string, kind string")
+    assert [r[0] for r in hints.select(L.package_hint()).collect()] == [None, None, "@s/p", "github.com/a/b", "lodash", "tokio", "requests", None, "flask", None]
     e = spark.createDataFrame([("a", "b", "CALLS", 0.6)], "src string, dst string, relationship string, confidence double")
     assert rows(L.fuse_edges(e, e)) == [("a", "b", "CALLS", 1.0, True)]
 
@@ -185,7 +194,7 @@ def test_clusters_hold_pairs_far_from_any_probe_and_linked_ones(spark):
     from quillon.operators import jobs as J
 
     t = dt.datetime(2025, 1, 1)
-    m = spark.createDataFrame([(i, "n", "context", 0.5, 1, t, t, "x") for i in ("a", "b", "c")], "id string, namespace string, memory_type string, importance double, access_count int, last_accessed_at timestamp_ntz, updated_at timestamp_ntz, content string")
+    m = spark.createDataFrame([(i, "n", "context", 0.5, 1, t, t, "x", None) for i in ("a", "b", "c")], "id string, namespace string, memory_type string, importance double, access_count int, last_accessed_at timestamp_ntz, updated_at timestamp_ntz, content string, tags array<string>")
     e = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "memory_id string, embedding array<float>")
     n = spark.createDataFrame([("a", "memory"), ("b", "memory")], "id string, kind string")
     g = spark.createDataFrame([("1", "a", "b", "SHARES_THEME")], "id string, src string, dst string, relationship string")
@@ -284,3 +293,61 @@ def test_h08_takes_other_symbols_for_other_queries(spark, data):
     for r in catalog.queries()["h08_hybrid_code"](spark, data).collect():
         got.setdefault(r["query_id"], set()).add(r["id"])
     assert any("shard" in i.lower() for i in got["q1"]) and got["q1"] != got["q2"]
+
+
+def test_an_edge_counts_when_it_ends_but_a_node_does_not(spark):
+    from quillon.operators.jobs import active_edges
+
+    t = dt.datetime(2025, 1, 2)
+    e = spark.createDataFrame([("at", None, t), ("before", None, dt.datetime(2025, 1, 1)), ("later", dt.datetime(2025, 1, 3), None), ("begins", t, None)], "id string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    assert rows(active_edges(e, "2025-01-02 00:00:00").select("id")) == [("at",), ("begins",)]
+
+
+def test_recall_filters_falls_back_and_expands(spark):
+    from quillon.operators.recall import named_memories, recall, recall_expanded
+
+    t = dt.datetime(2025, 1, 1)
+    old = dt.datetime(2024, 1, 1)
+    m = spark.createDataFrame(
+        [("a", "alpha beta", ["x"], "context", "n", 0.5, None), ("b", "gamma", ["beta"], "decision", "n", 0.5, None), ("c", "delta", None, "context", "o", 0.9, None), ("d", "alpha", ["noise"], "context", "n", 1.0, None), ("gone", "alpha", None, "context", "n", 1.0, old)],
+        "id string, content string, tags array<string>, memory_type string, namespace string, importance double, expires_at timestamp_ntz",
+    )
+    from pyspark.sql import functions as F
+
+    m = m.select("*", F.lit(0.5).alias("confidence"), F.lit(t).cast("timestamp_ntz").alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("last_accessed_at"), F.lit(None).cast("string").alias("git_ref"))
+    kinds = [(i, "memory") for i in "abcd"] + [("gone", "memory"), ("sym:Foo", "function"), ("Foo", "function"), ("ch", "chunk"), ("sym:FooBar", "function")]
+    n = spark.createDataFrame([(i, k, None, None, None) for i, k in kinds], "id string, kind string, valid_from timestamp_ntz, valid_to timestamp_ntz, memory_id string")
+    e = spark.createDataFrame(
+        [("e1", "sym:FooBar", "b", "RELATES_TO", None, None), ("e2", "a", "c", "SHARES_THEME", None, old), ("e3", "a", "b", "LEADS_TO", None, None), ("e4", "b", "ch", "CONTAINS", None, None), ("e5", "ch", "d", "CONTAINS", None, None), ("e6", "sym:FooBar", "d", "RELATES_TO", None, old)],
+        "id string, src string, dst string, relationship string, valid_from timestamp_ntz, valid_to timestamp_ntz",
+    ).withColumn("weight", F.lit(1.0))
+    now = "2025-02-01 00:00:00"
+    q = spark.createDataFrame([("q1", "FooBar says"), ("q2", "alpha")], "query_id string, query string")
+    assert rows(named_memories(n, e, q, now)) == [("q1", "b")]
+    got = recall(m, n, e, q, now, k=2).select("query_id", "position", "id").orderBy("query_id", "position").collect()
+    assert [tuple(r) for r in got] == [("q1", 1, "b"), ("q2", 1, "d"), ("q2", 2, "a")]
+    some = recall(m, n, e, q, now, namespace="n", exclude_tags=("noise",), memory_type="Context").select("query_id", "id")
+    assert rows(some) == [("q1", "a"), ("q2", "a")]
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "memory_id string, embedding array<float>")
+    asked = q.where("query_id = 'q2'").withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    near = recall_expanded(m, n, e, asked, now, k=10, depth=1, embeddings=v.where("memory_id = 'a'")).select("id", "path").collect()
+    assert {tuple(r) for r in near} == {("a", "direct"), ("b", "via LEADS_TO from a"), ("c", "via graph from a")}
+    deep = recall_expanded(m, n, e, asked, now, k=10, depth=3, embeddings=v.where("memory_id = 'a'")).select("id", "path").collect()
+    assert {tuple(r) for r in deep} == {("a", "direct"), ("b", "via LEADS_TO from a"), ("c", "via graph from a"), ("d", "via graph from a")}
+
+
+def test_recall_fallback_equals_a_full_scan(spark, data):
+    """The best of all memories, without scoring all of them against all queries."""
+    from quillon.operators.recall import Weights, _live, _Scorer, _top, recall
+    from quillon.plans import catalog
+    from quillon.sources.tables import Store
+    from pyspark.sql import functions as F
+
+    s = Store(spark, data)
+    m, n, e = catalog._recall_tables(s)
+    q = catalog._asked(s)
+    got = rows(recall(m, n, e, q, catalog.NOW, k=7).select("query_id", "id", "score"))
+    live = _live(m, catalog.NOW, None, None, (), None, None, None)
+    every = q.select("query_id").crossJoin(live.select("id")).withColumn("vector", F.lit(0.0))
+    full = _top(_Scorer(m, live, n, e, q, catalog.NOW, Weights(), None, None).scored(every).where("score > 0.01"), 7)
+    assert got == rows(full.select("query_id", "id", "score"))
