@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Rows of one block of a cell; two blocks make a tile.
-BLOCK = 8192
+BLOCK = 2048
 #: Rows of a tile multiplied at once.
 _STRIP = 1024
 
@@ -48,6 +48,26 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ROUNDING = 1e-5
 
 
+#: Products of int8 codes are whole numbers below 2**24 over this many dimensions, so float32 adds them up exactly.
+_EXACT_DIMS = (1 << 24) // 127**2
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact inner products of the rows of two matrices of int8 codes.
+
+    A product of whole numbers runs in the floating-point unit, which is many
+    times faster than an integer one, in slices of dimensions whose sums it
+    holds without rounding.
+    """
+    parts = [a[:, i : i + _EXACT_DIMS].astype(np.float32) @ b[:, i : i + _EXACT_DIMS].astype(np.float32).T for i in range(0, a.shape[1], _EXACT_DIMS)]
+    return parts[0] if len(parts) == 1 else sum(p.astype(np.float64) for p in parts)
+
+
+def _kth(best: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, by a partial order (what a heap of k would hold at its top)."""
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] >= k else np.full(len(best), -4.0, best.dtype)
+
+
 def tile(a: tuple, b: tuple, least: float, k: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(row of a, row of b) of the pairs that can be among the k best of either row in this tile with a cosine of ``least``.
 
@@ -56,32 +76,25 @@ def tile(a: tuple, b: tuple, least: float, k: int, same: bool) -> tuple[np.ndarr
     lies below ``least`` or below the k-th best lower bound of both its rows.
     """
     (ca, sa, ea), (cb, sb, eb) = a, b
-    left, right = ca * sa[:, None], (cb * sb[:, None]).T
-    floor = least - (ea.max() + eb.max() + ea.max() * eb.max() + _ROUNDING)
-    parts = []
-    for at in range(0, len(left), _STRIP):
-        behind = at if same else 0  # of a block with itself only the upper half is needed
-        near = left[at : at + _STRIP] @ right[:, behind:]
-        i, j = np.nonzero(near >= floor)
-        mid = near[i, j]
-        i, j = i + at, j + behind
-        slack = ea[i] + eb[j] + ea[i] * eb[j] + _ROUNDING
-        keep = (mid + slack >= least) & ((i < j) | (not same))
-        parts.append((i[keep], j[keep], mid[keep], slack[keep]))
-    i, j, mid, slack = (np.concatenate(x) for x in zip(*parts))
-    if not len(i):
-        return i, j
-    lower, upper = mid - slack, mid + slack
-    # the k-th best lower bound of each row, over the pairs of the tile that it is in
-    ends = np.concatenate([i, j if same else j + len(ca)])
-    order = np.lexsort((-np.concatenate([lower, lower]), ends))
-    sorted_ends = ends[order]
-    first = np.searchsorted(sorted_ends, sorted_ends)
-    kth = np.full(len(ca) + len(cb), -4.0)
-    at_k = np.arange(len(order)) - first == k - 1
-    kth[sorted_ends[at_k]] = np.concatenate([lower, lower])[order][at_k]
-    keep = (upper >= kth[i]) | (upper >= kth[j if same else j + len(ca)])
-    return i[keep], j[keep]
+    slack = ea.max() + eb.max() + ea.max() * eb.max() + _ROUNDING  # of the whole tile, so that bounds are one comparison
+    rows, tops = [], []
+    for at in range(0, len(ca), _STRIP):
+        near = products(ca[at : at + _STRIP], cb) * (sa[at : at + _STRIP, None] * sb[None, :])
+        if same:
+            near[np.arange(len(near)), at + np.arange(len(near))] = -4.0
+        rows.append(near)
+        tops.append(np.partition(near, max(0, len(near) - k), axis=0)[-k:] if len(near) > k else near)
+    of_a = np.concatenate([_kth(near, k) for near in rows])
+    of_b = _kth(np.concatenate(tops).T, k)
+    out = []
+    for at, near in zip(range(0, len(ca), _STRIP), rows):
+        floor = np.minimum(of_a[at : at + len(near), None], of_b[None, :]) - 2 * slack
+        i, j = np.nonzero((near >= floor) & (near >= least - slack))
+        i = i + at
+        if same:
+            i, j = i[i < j], j[i < j]
+        out.append((i, j))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
 _ROUTED = "kind string, cell int, h long, codes binary, scale float, error float"
@@ -118,7 +131,7 @@ def _tiles(k: int, least: float):
         table = table.combine_chunks()
         side = table.column("block").to_numpy()
         ids = table.column("h").to_numpy()
-        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(side), -1).astype(np.float32)
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(side), -1)
         scale, error = table.column("scale").to_numpy(), table.column("error").to_numpy()
         blocks = np.unique(side)
         rows = [np.flatnonzero(side == b) for b in blocks]
@@ -165,9 +178,9 @@ def _cosines(pairs: pa.Table, rows: pa.Table) -> pa.Table:
 
 
 def _pivots(own: DataFrame, most_cells: int) -> dict[str, np.ndarray]:
-    """For each kind about half as many pivots as the square root of its vectors, most_cells at most: the vectors of the smallest hashes."""
+    """For each kind about half as many pivots as the square root of its vectors, most_cells at most, one at least: the vectors of the smallest hashes."""
     counts = {r["kind"]: r["n"] for r in own.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row a kind
-    most = {kind: max(1, min(most_cells, int(n**0.5 / 2))) if n >= 1024 else 1 for kind, n in counts.items()}
+    most = {kind: max(1, min(most_cells, int(n**0.5 / 2))) for kind, n in counts.items()}
     if not most:
         return {}
     # a fixed share of the hash space holds twice the pivots wanted, so the sort is of that share alone
@@ -188,7 +201,7 @@ def _h(*columns: str) -> F.Column:
     return F.xxhash64(*columns)
 
 
-def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: int = 5, least: float = 0.5, probes: int = 4, most_cells: int = 4096, block: int = BLOCK) -> DataFrame:
+def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: int = 5, least: float = -1.0, probes: int = 4, most_cells: int = 4096, block: int = BLOCK) -> DataFrame:
     """For every vector its k most similar others of the same model and length, of cosine ``least`` or more.
 
     Returns id, other, cosine, position (1 is most similar; ties by id). Every
@@ -199,9 +212,9 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, model: str, k: in
     The vectors of a cell are compared in tiles of two blocks, by products of
     int8 codes with error bounds; pairs that may still be among the k best are
     recomputed in float and merged. Two vectors meet if they share a cell; in a
-    cell nothing is lost, and with one cell (fewer than 1024 vectors of a kind)
-    the result is exact. Pairs of a low cosine share a cell more seldom: the
-    recall is measured for pairs of 0.8 and more.
+    cell nothing is lost, so with ``most_cells=1`` the result is exact, at a
+    cost that grows with the square of the vectors. Pairs of a low cosine share
+    a cell more seldom: README gives the recall by cosine.
 
     Equal vectors are collapsed before: of a group of equal vectors the k + 1
     smallest ids are compared with the others, the rest have the k smallest

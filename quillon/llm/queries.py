@@ -87,20 +87,22 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = mixing.plan_shares(_sized(spark, d), table(spark, d, "mix_targets"))
-    return plan.where(~F.col("reachable")).select("source")
+    return mixing.short_of_target(*_mixed(spark, d))
 
 
-def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix and its plan."""
     sized = durable(_sized(spark, d))
     plan = mixing.plan_shares(sized, table(spark, d, "mix_targets"))
-    return mixing.mix_sources(sized, plan)
+    return mixing.mix_sources(sized, plan), plan
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized = durable(_sized(spark, d))
-    plan = mixing.plan_shares(sized, table(spark, d, "mix_targets"))
-    return mixing.shares_reached(mixing.mix_sources(sized, plan), plan)
+    return mixing.shares_reached(*_mixed(spark, d))
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

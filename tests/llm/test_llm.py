@@ -176,7 +176,7 @@ def test_similar_vectors_equal_brute_force(spark):
     rows = [(f"v{i}-{j}", [float(x) for x in (v + r.normal(size=16) * 0.15) * (j + 1)], "m") for i, v in enumerate(base) for j in range(4)]
     rows += [(f"same{i}", [1.0] * 16, "m") for i in range(12)] + [("zero", [0.0] * 16, "m"), ("none", None, "m"), ("nan", [float("nan")] * 16, "m"), ("short", [1.0] * 3, "m"), ("nomodel", [1.0] * 16, None), rows[0]]
     df = spark.createDataFrame(rows, "memory_id string, embedding array<float>, model string")
-    got = {(x["id"], x["other"]) for x in neighbours.similar_vectors(df, "memory_id", "embedding", "model", k=5, least=0.8, block=50).collect()}
+    got = {(x["id"], x["other"]) for x in neighbours.similar_vectors(df, "memory_id", "embedding", "model", k=5, least=0.8, block=50, most_cells=1).collect()}
     own = {k: np.array(v, np.float32).astype(float) for k, v, m in rows if m and v and len(v) == 16 and np.any(v) and not np.isnan(v).any()}
     names = sorted(own)
     x = np.array([own[k] / np.linalg.norm(own[k]) for k in names])
@@ -186,6 +186,20 @@ def test_similar_vectors_equal_brute_force(spark):
     assert neighbours.similar_vectors(df.limit(0), "memory_id", "embedding", "model").count() == 0
 
 
+def test_all_neighbours_without_a_least_cosine(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(120, 1100))  # more dimensions than one exact slice
+    df = spark.createDataFrame([(f"v{i:03d}", [float(a) for a in v], "m") for i, v in enumerate(x)], "memory_id string, embedding array<float>, model string")
+    got = {(p["id"], p["other"], p["position"]) for p in neighbours.similar_vectors(df, "memory_id", "embedding", "model", k=3, block=40, most_cells=1).collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x @ x.T
+    np.fill_diagonal(c, -9)
+    assert got == {(f"v{i:03d}", f"v{j:03d}", n + 1) for i in range(120) for n, j in enumerate(np.argsort(-c[i])[:3].tolist())}
+    codes = r.integers(-127, 128, (5, 3000)).astype(np.int8)
+    assert (neighbours.products(codes, codes) == codes.astype(np.int64) @ codes.astype(np.int64).T).all()
+
+
 def test_cells_reach_the_recall(spark):
     r = np.random.default_rng(7)
     base = r.normal(size=(1500, 32))
@@ -266,6 +280,22 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.mix_sources(sized.limit(0), mixing.plan_shares(sized.limit(0), targets)).count() == 0
 
 
+def test_mix_found_and_weights(spark):
+    r = random.Random(18)
+    docs = [(i, "a", 100, 0.0 if i % 4 == 0 else 1.0 if i % 4 < 3 else 3.0) for i in range(4000)] + [(i, "b", 100, 1000.0 if i == 5000 else 1.0) for i in range(5000, 5100)] + [(9000, "c", 50, 1.0)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, tokens long, w double")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.01, 1), ("c", 0.4, 2), ("none", 0.09, 5), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
+    plan = mixing.plan_shares(sized, targets)
+    mix = mixing.mix_sources(sized, plan, weight="w")
+    assert {x["source"] for x in mixing.short_of_target(mix, plan).collect()} == {x["source"] for x in plan.where("NOT reachable").collect()} == {"c", "none"}
+    got = {x["doc_id"] for x in mix.collect()}
+    share = [sum(1 for i, s, _, w in docs if s == "a" and w == v and i in got) / sum(1 for _, s, _, w in docs if s == "a" and w == v) for v in (0.0, 1.0, 3.0)]
+    assert share[0] < 0.01 and 0.3 < share[1] < 0.6 and share[2] > 0.9  # 0.205 * (0, 1, 1, 3) of 0.41 a document in all: (0, 0.41, 1.0)
+    assert 5000 in got  # too heavy for its share: certain
+    half = mixing.plan_shares(sized, targets, budget=1000.0)
+    assert {x["source"]: x["target_tokens"] for x in half.collect()}["a"] == 500.0
+
+
 def test_tokens_are_a_round_trip(spark):
     enc = mixing._encoding(*mixing.public_vocabulary())
     texts = ["Hello, wörld 漢字 <|endoftext|>", "", None, "a" * 5000]
