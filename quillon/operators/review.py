@@ -29,6 +29,18 @@ def lines_to_ranges(lines: DataFrame, ranges: DataFrame, key: str = "symbol", sl
     return own.join(spread, ["file_path", "slot"]).where("line BETWEEN line_start AND line_end").select("file_path", "line", key)
 
 
+def overlapping(spans: DataFrame, ranges: DataFrame, slot: int = 64) -> DataFrame:
+    """(id, symbol): every range of the file that shares a line with the span (id, file_path, line_start, line_end).
+
+    Both sides are listed under the slots that they touch; two that meet do so in the slot in which the later one begins.
+    """
+    each = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / slot), F.floor(F.greatest(a, b) / slot))).alias("slot")
+    own = spans.select("id", "file_path", F.col("line_start").alias("c"), F.col("line_end").alias("d"), each("line_start", "line_end"))
+    spread = ranges.select("symbol", "file_path", F.col("line_start").alias("a"), F.col("line_end").alias("b"), each("line_start", "line_end"))
+    met = own.join(spread, ["file_path", "slot"]).where((F.col("c") <= F.col("b")) & (F.col("a") <= F.col("d")) & (F.col("slot") == F.floor(F.greatest("a", "c") / slot)))
+    return met.select("id", "symbol").distinct()
+
+
 def innermost(spans: DataFrame, ranges: DataFrame, slot: int = 64) -> DataFrame:
     """(id, symbol): the shortest range of the file that holds the whole span (id, file_path, line_start, line_end)."""
     spread = ranges.select("symbol", "file_path", F.col("line_start").alias("a"), F.col("line_end").alias("b")).withColumn("slot", F.explode(F.sequence(F.floor(F.col("a") / slot), F.floor(F.greatest("a", "b") / slot))))

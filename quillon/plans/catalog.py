@@ -1138,3 +1138,6 @@ def _(s: Store) -> DataFrame:
     for name in ("region", "nation", "customer", "orders"):
         s.raw(name).createOrReplaceTempView(f"quillon_{name}")
     return s.spark.sql("SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM quillon_region JOIN quillon_nation ON n_regionkey = r_regionkey JOIN quillon_customer ON c_nationkey = n_nationkey LEFT JOIN quillon_orders ON o_custkey = c_custkey GROUP BY 1, 2")
+
+
+from . import extended  # noqa: E402, F401  (registers its queries)
