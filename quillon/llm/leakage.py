@@ -37,38 +37,45 @@ def gram_hashes(tokens: list[str], n: int) -> np.ndarray:
 
 
 class Grams:
-    """The normalised n-grams of test items: sorted hashes for the scan, and their words to verify hits."""
+    """The normalised n-grams of test items: their hashes in order for the scan, where each stands, and the items' words to verify hits.
+
+    Arrays of 16 bytes a gram, which every worker holds.
+    """
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n = n
-        self.tokens = {k: words(t) for k, t in items}
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, tokens in self.tokens.items():
-            for i, h in enumerate(gram_hashes(tokens, n).tolist()):
-                where[h].append((k, i))
-        self.where = dict(where)
-        self.hashes = np.array(sorted(self.where), np.uint64)
+        self.keys = [k for k, _ in items]
+        self.tokens = [words(t) for _, t in items]
+        grams = [gram_hashes(t, n) for t in self.tokens]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(g), dtype=np.int32) for g in grams)])[order]
 
     def hits(self, tokens: list[str]) -> Iterator[tuple[int, int, int]]:
         """(item, first word, words): the maximal runs of the tokens whose every n-gram is one of the item's, verified word by word."""
         grams = gram_hashes(tokens, self.n)
         if not len(grams) or not len(self.hashes):
             return
-        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        low = np.searchsorted(self.hashes, grams)
+        hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == grams)
+        high = np.searchsorted(self.hashes, grams[hit], side="right")
         found: dict[int, list[int]] = defaultdict(list)
-        for i in np.flatnonzero(self.hashes[at] == grams).tolist():
-            for k, j in self.where[int(grams[i])]:
+        for i, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
+            for k, j in zip(self.item[a:b].tolist(), self.place[a:b].tolist()):
                 if self.tokens[k][j : j + self.n] == tokens[i : i + self.n] and (not found[k] or found[k][-1] != i):
                     found[k].append(i)
         for k, starts in found.items():
-            first = last = starts[0] if starts else None
+            if not starts:
+                continue
+            first = last = starts[0]
             for i in starts[1:]:
                 if i > last + 1:
-                    yield k, first, last - first + self.n
+                    yield self.keys[k], first, last - first + self.n
                     first = i
                 last = i
-            if starts:
-                yield k, first, last - first + self.n
+            yield self.keys[k], first, last - first + self.n
 
 
 def _scan(shared) -> callable:

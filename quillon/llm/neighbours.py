@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Rows of one block of a cell; two blocks make a tile.
-BLOCK = 2048
+BLOCK = 8192
 #: Rows of a tile multiplied at once.
 _STRIP = 1024
 
@@ -68,32 +68,62 @@ def _kth(best: np.ndarray, k: int) -> np.ndarray:
     return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] >= k else np.full(len(best), -4.0, best.dtype)
 
 
+#: Pairs of a tile for each of its rows up to which they are listed before they are ordered.
+_LISTED = 32
+
+
 def tile(a: tuple, b: tuple, least: float, k: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(row of a, row of b) of the pairs that can be among the k best of either row in this tile with a cosine of ``least``.
 
     a and b are (codes, scale, error). The product of the codes gives each
     cosine up to e_a + e_b + e_a e_b. A pair is dropped only if its upper bound
     lies below ``least`` or below the k-th best lower bound of both its rows.
+    Where few pairs reach ``least`` they are listed and their k-th best found
+    among them; else the products are made twice, for the bounds and the pairs.
     """
     (ca, sa, ea), (cb, sb, eb) = a, b
     slack = ea.max() + eb.max() + ea.max() * eb.max() + _ROUNDING  # of the whole tile, so that bounds are one comparison
-    rows, tops = [], []
-    for at in range(0, len(ca), _STRIP):
-        near = products(ca[at : at + _STRIP], cb) * (sa[at : at + _STRIP, None] * sb[None, :])
-        if same:
-            near[np.arange(len(near)), at + np.arange(len(near))] = -4.0
-        rows.append(near)
-        tops.append(np.partition(near, max(0, len(near) - k), axis=0)[-k:] if len(near) > k else near)
-    of_a = np.concatenate([_kth(near, k) for near in rows])
-    of_b = _kth(np.concatenate(tops).T, k)
+
+    def strips() -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(ca), _STRIP):
+            near = products(ca[at : at + _STRIP], cb) * (sa[at : at + _STRIP, None] * sb[None, :])
+            if same:
+                near[np.arange(len(near)), at + np.arange(len(near))] = -4.0
+            yield at, near
+
+    listed, n = [], 0
+    for at, near in strips():
+        i, j = np.nonzero(near >= least - slack)
+        n += len(i)
+        if n > _LISTED * (len(ca) + len(cb)):
+            break
+        listed.append((i + at, j, near[i, j]))
+    else:
+        i, j, mid = (np.concatenate(x) for x in zip(*listed))
+
+        def kth(ends: np.ndarray, rows: int) -> np.ndarray:
+            order = np.lexsort((-mid, ends))
+            whose = ends[order]
+            place = np.arange(len(order)) - np.searchsorted(whose, whose)
+            out = np.full(rows, -4.0, mid.dtype)
+            out[whose[place == k - 1]] = mid[order][place == k - 1]
+            return out
+
+        keep = mid >= np.minimum(kth(i, len(ca))[i], kth(j, len(cb))[j]) - 2 * slack
+        keep &= (i < j) | (not same)
+        return i[keep], j[keep]
+
+    tops, of_a = [], []
+    for _, near in strips():
+        of_a.append(_kth(near, k))
+        tops.append(np.partition(near, len(near) - k, axis=0)[-k:] if len(near) > k else near)
+    of_a, of_b = np.concatenate(of_a), _kth(np.concatenate(tops).T, k)
     out = []
-    for at, near in zip(range(0, len(ca), _STRIP), rows):
-        floor = np.minimum(of_a[at : at + len(near), None], of_b[None, :]) - 2 * slack
-        i, j = np.nonzero((near >= floor) & (near >= least - slack))
+    for at, near in strips():
+        i, j = np.nonzero((near >= np.minimum(of_a[at : at + len(near), None], of_b[None, :]) - 2 * slack) & (near >= least - slack))
         i = i + at
-        if same:
-            i, j = i[i < j], j[i < j]
-        out.append((i, j))
+        keep = (i < j) | (not same)
+        out.append((i[keep], j[keep]))
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 

@@ -23,7 +23,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.positions(_ranked(spark, d), "session_id", "memory_id")
+    ranked = _ranked(spark, d).withColumn("place", F.round("place", 9)).withColumn("score", F.round("score", 9) + 0.0)
+    return ranking.positions(ranked, "session_id", "memory_id")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

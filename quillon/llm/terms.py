@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest, words
+from .common import durable, latest, words
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def memory_terms(memories: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataF
     lists and texts without a word give no rows; an empty table gives none.
     """
     own = latest(memories, "content", "tags")
-    terms = text_terms(own, "id", "content", "content").unionByName(tag_terms(own, "id", "tags", "tags"))
+    terms = durable(text_terms(own, "id", "content", "content").unionByName(tag_terms(own, "id", "tags", "tags")))  # counted once, read for each statistic
     has = F.explode(F.array(F.struct(F.lit("content").alias("field"), F.col("content").isNotNull().cast("long").alias("c")), F.struct(F.lit("tags").alias("field"), F.col("tags").isNotNull().cast("long").alias("c"))))
     sizes = own.select(has.alias("x")).groupBy("x.field").agg(F.sum("x.c").alias("n"))
     return score_terms(terms, sizes, k1, b).withColumnRenamed("id", "memory_id")
