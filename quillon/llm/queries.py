@@ -52,7 +52,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, d: str, least: float) -> DataFrame:
-    return neighbours.similar_vectors(table(spark, d, "memory_embeddings"), "memory_id", "embedding", "model", k=5, least=least)
+    return neighbours.similar_vectors(table(spark, d, "memory_embeddings"), "memory_id", "embedding", "model", k=5, least=least, probes=4)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
