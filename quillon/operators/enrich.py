@@ -197,3 +197,33 @@ def per_file_top(scored: DataFrame, file: str, score: str, key: str, floor: floa
     ranked = scored.where(F.col(score) >= floor).withColumn("r", F.row_number().over(order))
     kept = ranked.join(share, file, "left").withColumn("keep", F.greatest(F.lit(least), F.coalesce("keep", F.lit(least)))) if share is not None else ranked.withColumn("keep", F.lit(least))
     return kept.where("r <= keep").drop("r", "keep")
+
+
+#: Weights of the score by which chunks are kept: degree, parent symbol, link with a memory, size; the second row where there are no memories.
+CHUNK_WEIGHTS = {True: (0.3, 0.2, 0.3, 0.2), False: (0.4, 0.3, 0.0, 0.3)}
+_CODE_ENDS = r"^(sym|file|chunk|pkg|contains|ref):"
+
+
+def compacted_chunks(chunks: DataFrame, edges: DataFrame, symbols: DataFrame, with_memories: bool = True, most: int = 10, floor: float = 0.2) -> DataFrame:
+    """(id, file_path, score) of the chunks that are kept of each file.
+
+    chunks (id, file_path, parent_symbol, size), symbols (id, file_path). The
+    score adds up the chunk's edges and its size, both against the greatest
+    there is, whether it has a parent symbol and whether an edge leads to a
+    memory. Kept are chunks of a score of ``floor``, the best min(most, chunks)
+    of a file, but max(3, symbols of the file) at least. Chunks without a file
+    are left out; ties by id. The cut is the feature.
+    """
+    own = chunks.where("id IS NOT NULL AND file_path IS NOT NULL").groupBy("id").agg(F.min(F.struct("file_path", "parent_symbol", "size")).alias("m")).select("id", "m.*")
+    ends = edges.select(F.col("id").alias("e"), F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), F.array("src", "dst").alias("both"))
+    met = ends.select("id", F.coalesce(F.element_at(F.array_remove("both", F.col("id")), 1), F.col("id")).alias("other"))
+    degree = met.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"), F.max((~F.col("other").rlike(_CODE_ENDS)).cast("int")).alias("linked"))
+    joined = own.join(degree, "id", "left").fillna(0, ["degree", "linked", "size"])
+    top = joined.agg(F.greatest(F.lit(1), F.max("degree")).alias("d"), F.greatest(F.lit(1), F.max("size")).alias("s"))  # one row
+    w = CHUNK_WEIGHTS[with_memories]
+    score = w[0] * F.col("degree") / F.col("d") + w[1] * F.col("parent_symbol").isNotNull().cast("int") + w[2] * F.col("linked") + w[3] * F.col("size") / F.col("s")
+    scored = joined.crossJoin(F.broadcast(top)).select("id", "file_path", F.round(score, 9).alias("score"))
+    counts = scored.groupBy("file_path").agg(F.count("*").alias("n")).join(symbols.where("file_path IS NOT NULL").distinct().groupBy("file_path").agg(F.count("*").alias("y")), "file_path", "left")
+    keep = counts.select("file_path", F.greatest(F.least(F.lit(most), F.col("n")), F.lit(3), F.coalesce("y", F.lit(0))).cast("int").alias("keep"))
+    order = W.partitionBy("file_path").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("r", F.row_number().over(order)).join(keep, "file_path").where((F.col("r") <= F.col("keep")) & (F.col("score") >= floor)).select("id", "file_path", "score")

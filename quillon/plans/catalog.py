@@ -821,7 +821,11 @@ def _(s: Store) -> DataFrame:
 
 @query("n03_security_scan")
 def _(s: Store) -> DataFrame:
-    return N.security_scan(s.chunks("text"))
+    """A line is put behind three of four texts: the code of the test data has nothing to be found."""
+    turn = F.col("chunk_index") % 4
+    line = F.when(turn == 0, '\napi_key = "abcdefgh1"').when(turn == 1, "\nunsafe { x }; unsafe{}").when(turn == 2, "\nq = SELECT a + name").otherwise("")
+    c = s.chunks("chunk_index", "text").where("chunk_index IS NOT NULL AND text IS NOT NULL")
+    return N.security_scan(c.withColumn("text", F.concat("text", line)))
 
 
 @query("n04_coupling", "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edg UNION ALL SELECT dst FROM edg ) GROUP BY 1 HAVING count(*) > 15")

@@ -311,3 +311,17 @@ def _(s: Store) -> DataFrame:
 @query("b25_newest_rows", "SELECT namespace, id, ended_at FROM ses WHERE ended_at IS NOT NULL AND namespace IS NOT NULL QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY ended_at DESC, id DESC) = 1")
 def _(s: Store) -> DataFrame:
     return L.newest_rows(s.sessions("namespace", "ended_at").where("ended_at IS NOT NULL AND namespace IS NOT NULL").select("namespace", "ended_at", "id"), ["namespace"], "ended_at").select("namespace", "id", "ended_at")
+
+
+@query(
+    "f03_compacted_chunks",
+    r"""WITH c AS (SELECT id, min(file_path) AS file_path, min(parent_symbol) AS parent_symbol, min(length(regexp_replace(text, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', '', 'g'))) AS size FROM chk WHERE text IS NOT NULL AND file_path IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT id, src, dst FROM edg ), x AS (SELECT src AS id, dst AS o FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst),
+d AS (SELECT id, count(*) AS degree, max(CASE WHEN regexp_matches(o, '^(sym|file|chunk|pkg|contains|ref):') THEN 0 ELSE 1 END) AS linked FROM x WHERE id IN (SELECT id FROM c) GROUP BY 1), j AS (SELECT c.*, coalesce(degree, 0) AS degree, coalesce(linked, 0) AS linked FROM c LEFT JOIN d USING (id)),
+s AS (SELECT id, file_path, round(0.3 * degree / greatest(1, max(degree) OVER ()) + 0.2 * (parent_symbol IS NOT NULL)::INT + 0.3 * linked + 0.2 * size / greatest(1, max(size) OVER ()), 9) AS score FROM j),
+y AS (SELECT json_extract_string(payload, '$.file_path') AS file_path, count(DISTINCT id) AS y FROM nod WHERE kind IN ('function', 'method') GROUP BY 1), k AS (SELECT file_path, greatest(least(10, count(*)), 3, coalesce(any_value(y), 0)) AS k FROM s LEFT JOIN y USING (file_path) GROUP BY 1)
+SELECT id, file_path, score FROM s JOIN k USING (file_path) WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY score DESC, id) <= any_value(k) OVER (PARTITION BY file_path)""",
+)
+def _(s: Store) -> DataFrame:
+    c = s.chunks("file_path", "parent_symbol", "text").where("text IS NOT NULL").withColumn("size", S.non_whitespace("text"))
+    symbols = s.nodes("kind", "payload").where("kind IN ('function', 'method')").select("id", S.json_text("payload", "$.file_path").alias("file_path"))
+    return N.compacted_chunks(c, s.edges("src", "dst"), symbols)

@@ -109,4 +109,6 @@ s AS (SELECT q0.query_id, mem.id, least(1.0, coalesce(CASE WHEN c IS NOT NULL AN
   FROM q0 CROSS JOIN mem LEFT JOIN gs ON gs.id = mem.id LEFT JOIN bm ON bm.query_id = q0.query_id AND bm.id = mem.id WHERE (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND lower(trim(memory_type)) = 'context' AND NOT coalesce(list_contains(tags, 'static-analysis'), false) AND importance >= 0.2),
 z AS (SELECT query_id, id, 0.2 * graph + 0.15 * words + 0.1 * age + 0.05 * tags + 0.1 * i + 0.1 * cf + 0.05 * rec AS score, words, graph, tags FROM s)
 SELECT query_id, id, round(score, 6) AS score, round(words, 6) AS words, round(graph, 6) AS graph, tags FROM z WHERE score > 0.01 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20""",
+    "f04_top_per_file": "WITH c AS (SELECT id, file_path, least(1.0, length(regexp_replace(text, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+', '', 'g')) / 1000.0) AS score FROM (SELECT DISTINCT id, file_path, text FROM chk WHERE text IS NOT NULL)) SELECT file_path, id FROM c WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY score DESC, id) <= 3",
+    "n03_security_scan": "WITH c AS (SELECT DISTINCT id, chunk_index, text || CASE chunk_index % 4 WHEN 0 THEN chr(10) || 'api_key = \"abcdefgh1\"' WHEN 1 THEN chr(10) || 'unsafe { x }; unsafe{}' WHEN 2 THEN chr(10) || 'q = SELECT a + name' ELSE '' END AS t FROM chk WHERE chunk_index IS NOT NULL AND text IS NOT NULL), f AS (SELECT id, regexp_matches(t, '(?i)(password|secret|api_key|apikey|token|private_key)\\s*[:=]\\s*[\"''][^\"'']{8,}[\"'']') AS credentials, regexp_matches(t, '(?i)(SELECT|INSERT|UPDATE|DELETE|DROP)\\s+.*\\+\\s*[a-zA-Z_]|format!\\s*\\(\\s*\"[^\"]*(?:SELECT|INSERT|UPDATE|DELETE)') AS sql_concat, CAST(len(regexp_extract_all(t, 'unsafe\\s*\\{')) AS INT) AS unsafe_blocks FROM c) SELECT * FROM f WHERE credentials OR sql_concat OR unsafe_blocks > 0",
 }
