@@ -421,7 +421,7 @@ def _(s: Store) -> DataFrame:
 
 @query("f05_important_nodes")
 def _(s: Store) -> DataFrame:
-    ranks = G.pagerank(s.nodes("kind").where("kind <> 'memory'"), s.edges("src", "dst"), tolerance=1e-7)
+    ranks = G.pagerank(s.nodes("kind").where("kind <> 'memory'"), s.edges("src", "dst"), tolerance=0.0)
     return ranks.orderBy(F.round("rank", 12).desc(), "id").limit(20).select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -552,7 +552,7 @@ def _(s: Store) -> DataFrame:
 def _(s: Store) -> DataFrame:
     """Without vectors every query falls back on all memories that pass the filters."""
     m, n, e = _recall_tables(s)
-    ranks = G.pagerank(n, e)
+    ranks = G.pagerank(n, e, tolerance=0.0)
     found = recall(m, n, e, _asked(s), NOW, k=20, ranks=ranks, memory_type="context", exclude_tags=("static-analysis",), min_importance=0.2)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.round("words", 6).alias("words"), F.round("graph", 6).alias("graph"), "tags")
 
@@ -652,7 +652,7 @@ def _(s: Store) -> DataFrame:
 @query("k13_personalised_pagerank")
 def _(s: Store) -> DataFrame:
     n, e = _calls(s)
-    return G.pagerank(n, e, seeds=_hub(s), tolerance=1e-7).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(n, e, seeds=_hub(s), tolerance=0.0).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("k14_betweenness")
