@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, mix, words
+from .common import WordHashes, discard, durable, mix
 from .copies import Node, classes_of, record
 
 #: Frequent words whose order is known on all workers; all other words count as rare.
 HEAD = 4096
+#: Words of the head that are spread over the parts by how often they come together, and sets at most that this is counted in.
+SPREAD, _SAMPLE = 1024, 8192
 #: Bits of the parity sketch: one word of 64 and one of 32. A set goes by its sketch.
 _BITS = 96
 #: Sums of two set sizes up to which each family (size band) of parts reaches; each next reaches 2.4 times as far.
@@ -59,8 +61,9 @@ def families(size: int, least: float) -> Iterator[tuple[int, int, int]]:
 class Tokens:
     """Words as 64-bit hashes with their order (rare first), the part that each falls into and the share of the sets that have it."""
 
-    def __init__(self, head: list[str], shares: list[float] | None = None, sets: int = 1):
-        """head: words, the most frequent first; shares: the share of the sets that each is in; sets: their number."""
+    def __init__(self, head: list[str], shares: list[float] | None = None, sets: int = 1, together: np.ndarray | None = None):
+        """head: words, the most frequent first; shares: the share of the sets that each is in; sets: their number; together: how often two of the first words are in one set."""
+        self.ranks_of = {w: i for i, w in enumerate(head)}
         rank = {xxhash.xxh3_64_intdigest(w): i for i, w in enumerate(head)}
         self.keys = np.array(sorted(rank), np.uint64)
         self.ranks = np.array([rank[k] for k in self.keys.tolist()], np.uint64)
@@ -69,6 +72,29 @@ class Tokens:
         #: A word outside the head is in no more sets than the last word of the head.
         self.rare = float(share[-1]) if len(head) == HEAD else 1.0 / max(1, sets)
         self.crowd = CROWD / max(1, sets)
+        self.together = np.zeros((0, 0), np.float32) if together is None else together
+        self._spread: dict[int, np.ndarray] = {}
+
+    def parts(self, deciding: np.ndarray, m: int) -> np.ndarray:
+        """The part of m that each word falls into.
+
+        Any function of the word will do. Words that often come together are
+        kept apart, so that the parts of a set are of like size and few hold
+        nothing but the frame of a sentence that very many sets have.
+        """
+        if m not in self._spread:
+            where = np.arange(len(self.together))
+            if m < len(where):
+                cost = np.zeros((m, len(where)))
+                for word, row in enumerate(self.together):
+                    where[word] = cost[:, word].argmin()
+                    cost[where[word]] += row
+            self._spread[m] = where
+        where = self._spread[m]
+        part = (deciding % np.uint64(m)).astype(np.int64)
+        spread = deciding < np.uint64(len(where))
+        part[spread] = where[deciding[spread].astype(np.int64)]
+        return part
 
     def order(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, what decides the part, share of the sets) of each hash."""
@@ -152,7 +178,7 @@ def _keys_of_parts(count: np.ndarray, begin: np.ndarray, e: np.ndarray, h: np.nd
 
 
 def anchor_rows(token_sets: list[list[str]], tokens: Tokens, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(key of 64 bits, rows of three words: size 12 | errors 2 | level 2; second sketch; first sketch) of some sets of distinct words."""
+    """(key of 64 bits, rows of three words: level 2 | size 12 | errors 2; second sketch; first sketch) of some sets of distinct words."""
     token_sets = [s for s in token_sets if s]
     if not token_sets:
         return np.zeros(0, np.uint64), np.zeros((3, 0), np.uint64)
@@ -173,9 +199,10 @@ def anchor_rows(token_sets: list[list[str]], tokens: Tokens, least: float) -> tu
         new = np.full(len(sizes), -1)
         new[chosen] = np.arange(len(chosen))
         tok = new[whose] >= 0
-        w, part = new[whose[tok]], (deciding[tok] % np.uint64(m)).astype(np.int64)
-        sort = np.lexsort((order[tok], part, w))
-        count = np.bincount(w * m + part, minlength=len(chosen) * m)
+        w, part = new[whose[tok]], tokens.parts(deciding[tok], m)
+        own = w * m + part
+        sort = np.lexsort((order[tok], own))
+        count = np.bincount(own, minlength=len(chosen) * m)
         errors = np.array([of_size[s] for s in sizes[chosen].tolist()])
         e, enough = allotted(count.reshape(-1, m), errors)
         e[~enough] = _ERRORS  # all there is, for partners that count on it
@@ -197,11 +224,11 @@ def anchor_rows(token_sets: list[list[str]], tokens: Tokens, least: float) -> tu
         levels.append(np.zeros(int(first.sum()), np.int64))
         limits.append(np.full(int(first.sum()), _ERRORS))
     at, key = np.concatenate(whom), np.concatenate(keys)
-    first = np.minimum(sizes[at], _CAP).astype(np.uint64) << np.uint64(4) | np.concatenate(limits).astype(np.uint64) << np.uint64(2) | np.concatenate(levels).astype(np.uint64)
+    first = np.concatenate(levels).astype(np.uint64) << _LEVEL | np.minimum(sizes[at], _CAP).astype(np.uint64) << _SIZE | np.concatenate(limits).astype(np.uint64)
     return key, np.stack([first, s2[at], s1[at]])
 
 
-_SIZE, _LOW = np.uint64(4), np.uint64(3)
+_LEVEL, _SIZE, _LOW = np.uint64(14), np.uint64(2), np.uint64(3)
 #: Of a key 48 bits are in the row; the others are those of the slice it is in.
 _KEY = np.uint64((1 << 48) - 1)
 
@@ -213,16 +240,20 @@ def _size(row: np.ndarray) -> np.ndarray:
 def _meet(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Whether rows x[:, i] and y[:, i] of one key may be of similar sets: size, level and sketch."""
     size_x, size_y = _size(x[0]), _size(y[0])
-    level = (x[0] & _LOW) + (y[0] & _LOW)
-    allowed = np.minimum(x[0] >> np.uint64(2) & _LOW, y[0] >> np.uint64(2) & _LOW)
+    level = (x[0] >> _LEVEL) + (y[0] >> _LEVEL)
+    allowed = np.minimum(x[0] & _LOW, y[0] & _LOW)
     open_ended = (size_x == _CAP) | (size_y == _CAP)
     apart = np.bitwise_count(x[2] ^ y[2]).astype(np.int64) + np.bitwise_count(x[1] ^ y[1])
     other = (x[1] != y[1]) | (x[2] != y[2])
     return other & (level <= allowed) & (open_ended | ((np.minimum(size_x, size_y) >= least * np.maximum(size_x, size_y) - 1e-9) & (apart <= most_different(size_x + size_y, least))))
 
 
-#: Runs of fewer rows are compared all at once, place by place; longer ones each as a matrix, so many rows of it at a time.
-_SHORT, _STRIP = 64, 256
+#: Runs of fewer rows are compared all at once, place by place; longer ones each as a matrix, so many rows and columns of it at a time.
+_SHORT, _STRIP, _WIDE = 64, 64, 512
+#: Bits up to which the first sketch by itself rules out nearly all; where more may differ, both are compared at once.
+_TELLING = 14
+#: Places of pairs that are gathered before they are looked at in full.
+_GATHERED = 1 << 18
 
 
 def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -231,33 +262,52 @@ def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([np.where(turn, y[2], x[2]), np.where(turn, y[1], x[1]), np.where(turn, x[2], y[2]), np.where(turn, x[1], y[1])])
 
 
-def _crossed(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[np.ndarray]:
-    """Pairs of names between the rows x and y of one key (each pair once if they are the same rows).
+def _near(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows that are near by their sizes and sketches (each pair once if both are the same rows).
 
     Both are sorted by size and compared block by block, so that the sizes of
     two blocks give a narrow limit to the bits in which sketches may differ.
     """
-    x = x[:, np.argsort(_size(x[0]), kind="stable")]
-    y = x if same else y[:, np.argsort(_size(y[0]), kind="stable")]
+    if not x.shape[1] or not y.shape[1]:
+        return
     size_x, size_y = _size(x[0]), _size(y[0])
-    first, second = x[2].copy(), y[2].copy()
-    for at in range(0, x.shape[1], _STRIP):
-        to = min(at + _STRIP, x.shape[1])
-        begin = max(at if same else 0, int(np.searchsorted(size_y, np.ceil(size_x[at] * least - 1e-9))))
-        end = len(size_y) if size_x[to - 1] == _CAP else int(np.searchsorted(size_y, np.floor(size_x[to - 1] / least + 1e-9), side="right"))
-        if size_y[-1] == _CAP:
-            end = len(size_y)
-        for low in range(begin, end, _STRIP):
-            high = min(low + _STRIP, end)
-            d = 64 if size_x[to - 1] == _CAP or size_y[high - 1] == _CAP else min(64, int(most_different(size_x[to - 1] + size_y[high - 1], least)))
-            at_least = np.flatnonzero((np.bitwise_count(first[at:to, None] ^ second[None, low:high]) <= d).ravel())
-            if not len(at_least):
-                continue
-            i, j = at_least // (high - low) + at, at_least % (high - low) + low
+    first_x, first_y, second_x, second_y = x[2], y[2], x[1].astype(np.uint32), y[1].astype(np.uint32)
+    for at in range(0, len(size_x), _STRIP):
+        to = min(at + _STRIP, len(size_x))
+        low_size, high_size = int(size_x[at]), int(size_x[to - 1])
+        begin = max(at if same else 0, int(np.searchsorted(size_y, np.ceil(low_size * least - 1e-9))))
+        end = len(size_y) if high_size == _CAP or size_y[-1] == _CAP else int(np.searchsorted(size_y, np.floor(high_size / least + 1e-9), side="right"))
+        for low in range(begin, end, _WIDE):
+            high = min(low + _WIDE, end)
+            top = int(size_y[high - 1])
+            d = _BITS if high_size == _CAP or top == _CAP else min(_BITS, int(most_different(high_size + top, least)))
+            apart = np.bitwise_count(first_x[at:to, None] ^ first_y[None, low:high])
+            if d > _TELLING:
+                apart += np.bitwise_count(second_x[at:to, None] ^ second_y[None, low:high])
+            places = np.flatnonzero(apart <= d)
+            i, j = places // (high - low) + at, places % (high - low) + low
             if same:
                 i, j = i[i < j], j[i < j]
-            keep = _meet(x[:, i], y[:, j], least)
-            yield _both(x[:, i[keep]], y[:, j[keep]])
+            if len(i):
+                yield i, j
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in the rows x and y of one key, both sorted by level and size: only levels that may meet are compared.
+
+    Rows at levels k and l meet where both may stand for k + l errors.
+    """
+
+    def at(rows: np.ndarray, level: int, errors: int) -> np.ndarray:
+        begin, end = np.searchsorted(rows[0], np.array([level, level + 1], np.uint64) << _LEVEL)
+        return np.flatnonzero((rows[0, begin:end] & _LOW) >= errors) + begin
+
+    for k in range(_ERRORS + 1):
+        for m in range(k if same else 0, _ERRORS + 1 - k):
+            i = at(x, k, k + m)
+            j = i if same and k == m else at(y, m, k + m)
+            for p, q in _near(x[:, i], y[:, j], least, same and k == m):
+                yield i[p], j[q]
 
 
 def _pairs(found: list[np.ndarray]) -> np.ndarray:
@@ -268,31 +318,35 @@ def _pairs(found: list[np.ndarray]) -> np.ndarray:
     return both[:, once]
 
 
-def _run(run: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of one run: rows at level 0 with all, rows at level 1 with each other where two errors are allowed."""
-    run = run[:, np.argsort(run[0] & _LOW, kind="stable")]
-    level, allowed = run[0] & _LOW, run[0] >> np.uint64(2) & _LOW
-    n = int(np.searchsorted(level, 1))
-    if n:
-        yield from _crossed(run[:, :n], run[:, :n], least, True)
-        if n < run.shape[1]:
-            yield from _crossed(run[:, :n], run[:, n:], least, False)
-    once = run[:, (level == 1) & (allowed >= 2)]
-    if once.shape[1]:
-        yield from _crossed(once, once, least, True)
+def _gathered(places: Iterator[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of names of the places that meet; looked at many at a time."""
+    held, n = [], 0
+
+    def settle() -> np.ndarray:
+        i, j = (np.concatenate(c) for c in zip(*held))
+        keep = _meet(x[:, i], y[:, j], least)
+        return _both(x[:, i[keep]], y[:, j[keep]])
+
+    for place in places:
+        held.append(place)
+        n += len(place[0])
+        if n >= _GATHERED:
+            yield settle()
+            held, n = [], 0
+    if held:
+        yield settle()
 
 
 def within(key: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of names (4 x n) among rows sorted by key."""
-    found = []
+    """Pairs of names (4 x n) among rows sorted by key, level and size."""
     first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
     length = np.diff(np.append(first, len(key)))
-    for a, n in zip(first[length >= _SHORT].tolist(), length[length >= _SHORT].tolist()):
-        found.extend(_run(rows[:, a : a + n], least))
+    long = zip(first[length >= _SHORT].tolist(), length[length >= _SHORT].tolist())
+    found = list(_gathered(((a + i, a + j) for a, n in long for i, j in _crossed(rows[:, a : a + n], rows[:, a : a + n], least, True)), rows, rows, least))
     some = np.repeat((length > 1) & (length < _SHORT), length)
     short, key, step = rows[:, some], key[some], 1
     at = np.arange(short.shape[1])
-    level, allowed = short[0] & _LOW, short[0] >> np.uint64(2) & _LOW
+    level, allowed = short[0] >> _LEVEL, short[0] & _LOW
     # a first limit for all: the largest difference that the set of the row may have
     limit = np.minimum(most_different(np.floor(_size(short[0]) * (1 + 1 / least)), least), 64).astype(np.uint8)
     limit[_size(short[0]) == _CAP] = 64
@@ -311,11 +365,11 @@ def within(key: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
 
 def between(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Pairs of names between two blocks of rows of one key."""
-    return _pairs(list(_crossed(x, y, least, False)))
+    return _pairs(list(_gathered(_crossed(x, y, least, False), x, y, least)))
 
 
 def packed(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows of 20 bytes: key 48 bits | size 12 | errors 2 | level 2, then the sketch."""
+    """Rows of 20 bytes: key 48 bits | level 2 | size 12 | errors 2, then the sketch."""
     out = np.empty((len(key), _ROW), np.uint8)
     out[:, :8] = (((key & _KEY) << np.uint64(16)) | rows[0]).astype("<u8")[:, None].view(np.uint8)
     out[:, 8:16] = rows[2].astype("<u8")[:, None].view(np.uint8)
@@ -324,7 +378,7 @@ def packed(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(key, rows) of packed rows, sorted by key."""
+    """(key, rows) of packed rows, sorted by key, level and size."""
     a = np.frombuffer(raw, np.uint8).reshape(-1, _ROW)
     head = np.ascontiguousarray(a[:, :8]).view("<u8")[:, 0]
     order = np.argsort(head, kind="stable")
@@ -416,7 +470,7 @@ def _tile(least: float):
     return go
 
 
-def _together(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def _some(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
     """The texts in lists of about ``most`` characters."""
     some, held = [], 0
     for t in texts:
@@ -430,15 +484,15 @@ def _together(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
 
 
 def _slices(shared, least: float, slices: int):
-    """Packed anchor rows of texts, by slice of the key; a slice gets one row a batch."""
+    """Packed anchor rows of sets, by slice of the key; a slice gets one row a batch."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Tokens = shared.value
         for batch in batches:
-            for texts in _together(batch.column(0).to_pylist()):
-                key, rows = anchor_rows([list(set(words(t))) for t in texts], tokens, least)
+            for sets in _some(batch.column(0).to_pylist()):
+                key, rows = anchor_rows([t.split("\n") for t in sets], tokens, least)
                 where = ((key >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((key, where))
+                order = np.argsort(key)
                 raw, where = packed(key[order], rows[:, order]), where[order]
                 cuts = np.flatnonzero(np.diff(where, prepend=-1))
                 ends = np.append(cuts[1:], len(where)) * _ROW
@@ -463,34 +517,30 @@ def candidate_pairs(anchors: DataFrame, tasks: int, least: float, run: int = RUN
     return pairs.distinct()
 
 
-def _set_key(tokens: set[str]) -> bytes:
-    return xxhash.xxh3_128_digest("\n".join(sorted(tokens)))
+def _line(tokens: set[str]) -> str:
+    """A set of words as one text: in order, each on a line."""
+    return "\n".join(sorted(tokens))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, version, text) to the digests of the text: its words in order, its record, its set of words."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, version, text) to the digests of the text (its words in order, its record, its set of words), the sketch that the set goes by and its words, each on a line; null where a text has none."""
     for batch in batches:
-        rows = []
+        digests, sets, at = [], [], []
         for text in batch.column(2).to_pylist():
-            if text is None:
-                rows.append((None, None, None))
-                continue
-            tree, seq = record(text), Node.leaf(text)
-            rows.append((seq.digest, tree and tree.digest, _set_key(set(seq.form.split(" "))) if seq.form else None))
-        cols = zip(*rows) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in cols)], names=[*batch.schema.names[:2], "seq", "rec", "words"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (words, name, text): the digest of its set of words and the sketch it goes by; texts without a word are left out."""
-    for batch in batches:
-        texts = [(t, s) for t in batch.column(0).to_pylist() if (s := set(words(t)))]
-        keys, names = [_set_key(s) for _, s in texts], pa.array([], pa.binary())
-        if texts:
-            sizes = np.array([len(s) for _, s in texts])
-            s1, s2 = sketches(_HASHES.of([w for _, s in texts for w in s]), np.cumsum(sizes) - sizes)
+            seq = None if text is None else Node.leaf(text)
+            tree = None if text is None else record(text)
+            digests.append((seq and seq.digest, tree and tree.digest))
+            at.append(len(sets) if seq and seq.form else None)
+            if at[-1] is not None:
+                sets.append(set(seq.form.split(" ")))
+        seqs, recs = zip(*digests) if digests else ((), ())
+        lines, names = list(map(_line, sets)), pa.array([], pa.binary())
+        if sets:
+            sizes = np.array([len(s) for s in sets])
+            s1, s2 = sketches(_HASHES.of([w for s in sets for w in s]), np.cumsum(sizes) - sizes)
             names = _names(s1, s2)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), names, pa.array([t for t, _ in texts], pa.string())], names=["words", "name", "t"])
+        own = [c.take(pa.array(at, pa.int64())) for c in (pa.array(map(xxhash.xxh3_128_digest, lines), pa.binary()), names, pa.array(lines, pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(seqs, pa.binary()), pa.array(recs, pa.binary()), *own], names=[*batch.schema.names[:2], "seq", "rec", "words", "name", "set"])
 
 
 def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,19 +552,61 @@ def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(set(words(text)))
+        for line in batch.column(0).to_pylist():
+            counts.update(line.split("\n"))
         if len(counts) > 500_000:
             yield flush()
     yield flush()
 
 
+def _ranked(shared):
+    """(set) to the ranks of its words of the head and, as they are, its other words."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.ranks_of
+        for batch in batches:
+            own = [[ranks[w] for w in line.split("\n") if w in ranks] for line in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int16()))], names=["ranks"])
+
+    return go
+
+
+def _together(sample: list[list[int]], shares: list[float]) -> np.ndarray:
+    """How often two of the first words of the head are in one set: in a sample of sets; among words that the sample hardly has a hundredth of what chance makes decides."""
+    has = np.zeros((len(sample), len(shares)), np.float32)
+    for i, ranks in enumerate(sample):
+        has[i, ranks] = 1
+    return has.T @ has / max(1, len(sample)) + 0.01 * np.outer(shares, shares).astype(np.float32)
+
+
+def _coded(shared):
+    """(name, words, set) to (name, words, code): the number and the ranks of the words of the head, two bytes each, then the other words, each on a line."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.ranks_of
+        for batch in batches:
+            codes = []
+            for line in batch.column(2).to_pylist():
+                every = line.split("\n")
+                known = [ranks[w] for w in every if w in ranks]
+                codes.append(np.array([len(known), *known], "<u2").tobytes() + "\n".join([w for w in every if w not in ranks]).encode())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], names=["name", "words", "code"])
+
+    return go
+
+
+def _words_of(code: bytes) -> set:
+    """The set of a code: ranks and words that are not of the head."""
+    n = 2 + 2 * int.from_bytes(code[:2], "little")
+    return set(np.frombuffer(code[2:n], "<u2").tolist()).union(code[n:].split(b"\n") if code[n:] else ())
+
+
 def _similar(least: float):
     def go(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        """Pairs of names and the texts under these names: the pairs of sets that are similar, by their words."""
-        sets: dict[bytes, list[tuple[bytes, set[str]]]] = {}
-        for name, key, text in zip(*(texts.column(c).to_pylist() for c in ("name", "words", "t"))):
-            sets.setdefault(name, []).append((key, set(words(text))))
+        """Pairs of names and the sets under these names: the pairs of sets that are similar, by their words."""
+        sets: dict[bytes, list[tuple[bytes, set]]] = {}
+        for name, key, code in zip(*(texts.column(c).to_pylist() for c in ("name", "words", "code"))):
+            sets.setdefault(name, []).append((key, _words_of(code)))
         out = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             for ka, x in sets.get(a, ()):
@@ -534,9 +626,9 @@ _VERIFIED = 4096
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) by the digests of sets, of the pairs (a, b) of names whose sets are similar.
+    """(a, b, similarity) by the digests of sets (name, words, code), of the pairs (a, b) of names whose sets are similar.
 
-    Pairs with near names in common go to one group, so that a text travels
+    Pairs with near names in common go to one group, so that a set travels
     once a group and not once a pair; a name with very many partners is salted.
     """
     ends = pairs.select(F.col("a").alias("n"), F.least("a", "b").alias("o")).unionByName(pairs.select(F.col("b").alias("n"), F.least("a", "b").alias("o")))
@@ -546,7 +638,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / _VERIFIED))
     grouped = led.select("a", "b", F.pmod(F.xxhash64("lead", salt), F.lit(groups)).alias("g"))
     need = grouped.select("g", F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = sets.join(need, "name").select(F.col("g").alias("u"), "name", "words", "t")
+    texts = sets.join(need, "name").select(F.col("g").alias("u"), "name", "words", "code")
     return grouped.groupBy("g").cogroup(texts.groupBy("u")).applyInArrow(_similar(least), "a binary, b binary, similarity double")
 
 
@@ -562,28 +654,36 @@ class NearDuplicates:
         if not 0.5 <= least <= 1:
             raise ValueError("least must be between 0.5 and 1")
         own = items.where(F.col(key).isNotNull())
-        # the digests of all rows are narrow: the latest version of an id is found among them, not among the texts
         keyed = own.select(F.col(key).cast("string").alias("id"), F.col(version).alias("version") if version else F.lit(0).alias("version"), F.col(text).alias("t"))
         kind = keyed.schema["version"].dataType.simpleString()
-        digests = keyed.mapInArrow(_keys, f"id string, version {kind}, seq binary, rec binary, words binary")
+        read = durable(keyed.mapInArrow(_read, f"id string, version {kind}, seq binary, rec binary, words binary, name binary, set string"))
+        # the digests of all rows are narrow: the latest version of an id is found among them, not among the texts
+        digests = read.select("id", "version", "seq", "rec", "words")
         if version:
             newest = digests.groupBy("id").agg(F.max(F.struct("version", "seq", "rec", "words")).alias("m")).select("id", "m.seq", "m.rec", "m.words")
         else:
             newest = digests.select("id", "seq", "rec", "words").distinct()
         self.members = durable(classes_of(durable(newest.where("words IS NOT NULL")), "words"))
-        # a text for each distinct set of words; the copies end here
-        every = own.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(_sets, "words binary, name binary, t string")
-        sets = durable(every.groupBy("words").agg(F.first("name").alias("name"), F.first("t").alias("t")))
+        # each distinct set of words; the copies end here
+        sets = durable(read.where("words IS NOT NULL").groupBy("words").agg(F.first("name").alias("name"), F.first("set").alias("set")))
+        discard(read)
         n = sets.count()
-        counts = sets.select("t").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        counts = sets.select("set").mapInArrow(_head_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
         head = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-        shared = own.sparkSession.sparkContext.broadcast(Tokens([r["word"] for r in head], [r["c"] / max(1, n) for r in head], n))  # HEAD words at most
-        tasks = max(own.sparkSession.sparkContext.defaultParallelism, -(-n * 40 * _ROW // _TASK))
-        anchors = sets.select("t").mapInArrow(_slices(shared, least, tasks * _SLICES), "slice int, rows binary")
+        context = own.sparkSession.sparkContext
+        shares = [r["c"] / max(1, n) for r in head]
+        tokens = Tokens([r["word"] for r in head], shares, n)
+        sample = sets.where(F.pmod(F.xxhash64("words"), F.lit(max(1, -(-n // _SAMPLE)))) == 0).select("set").mapInArrow(_ranked(context.broadcast(tokens)), "ranks array<smallint>")
+        first = sample.select(F.filter("ranks", lambda r: r < SPREAD).alias("ranks")).limit(2 * _SAMPLE)
+        tokens.together = _together([r["ranks"] for r in first.collect()], shares[:SPREAD])
+        shared = context.broadcast(tokens)  # HEAD words at most
+        tasks = max(context.defaultParallelism, -(-n * 40 * _ROW // _TASK))
+        anchors = sets.select("set").mapInArrow(_slices(shared, least, tasks * _SLICES), "slice int, rows binary")
         found = candidate_pairs(anchors, tasks, least, run)
         # different sets of one sketch are looked at as well
         twins = sets.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select(F.col("name").alias("a"), F.col("name").alias("b"))
-        self.similar = verified(durable(found.unionByName(twins)), sets, least)
+        coded = sets.select("name", "words", "set").mapInArrow(_coded(shared), "name binary, words binary, code binary")
+        self.similar = verified(durable(found.unionByName(twins)), coded, least)
 
     def _named(self, end: str) -> DataFrame:
         return self.members.select(F.col("words").alias(end), F.col("class_id").alias("c" + end)).distinct()
@@ -621,7 +721,8 @@ def near_duplicates(items: DataFrame, key: str, text: str, least: float = 0.8, r
     each band of sizes the words fall into parts by their hash, half as many as
     a pair may have errors; by the pigeonhole principle the errors of some part
     are no more than were allotted to it (see allotted), and there the parities
-    (XOR) of the rarest words that both parts keep are equal. Rows are joined
+    (XOR) of the rarest words that both parts keep are equal. Frequent words
+    that often come together, as a sample shows, fall into unlike parts. Rows are joined
     on that key; pairs whose sketches differ in more bits than such sets may in
     words are dropped, the others are verified on the words themselves. Keys
     take more words as the collection grows, so that their runs stay short.

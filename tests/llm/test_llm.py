@@ -4,8 +4,10 @@ import datetime as dt
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 
@@ -167,6 +169,69 @@ def test_near_duplicates_equal_brute_force(spark, run):
     assert len(set(g.values())) == 25 and len(g) == len(texts)
 
 
+@pytest.mark.parametrize("sizes", [(8, 20), (70, 90), (4000, 4200)])
+def test_long_runs_equal_all_comparisons(sizes):
+    """Rows of one key, more than a strip of them, at all levels: as every two of them compared."""
+    r = np.random.default_rng(2)
+    n, least = 700, 0.7
+    base = r.integers(0, 1 << 32, (2, 20), np.uint64)
+    flip = lambda: np.uint64(1) << r.integers(0, 32, n).astype(np.uint64)
+    pick, limit = r.integers(0, 20, n), r.integers(0, 3, n)
+    head = np.minimum(limit, r.integers(0, 3, n)) << 14 | np.minimum(r.integers(*sizes, n), 4095) << 2 | limit
+    rows = np.stack([head.astype(np.uint64), base[0, pick] ^ flip() ^ flip(), base[1, pick] ^ flip() ^ flip() ^ flip()])
+    key, rows = neardup.unpacked(neardup.packed(np.full(n, 7, np.uint64), rows).tobytes())
+    i, j = np.triu_indices(n, 1)
+    keep = neardup._meet(rows[:, i], rows[:, j], least)
+    want = set(map(tuple, neardup._both(rows[:, i[keep]], rows[:, j[keep]]).T.tolist()))
+    assert want and set(map(tuple, neardup.within(key, rows, least).T.tolist())) == want
+    half = r.random(n) < 0.4
+    keep = neardup._meet(rows[:, i], rows[:, j], least) & (half[i] != half[j])
+    want = set(map(tuple, neardup._both(rows[:, i[keep]], rows[:, j[keep]]).T.tolist()))
+    assert set(map(tuple, neardup.between(rows[:, half], rows[:, ~half], least).T.tolist())) == want
+
+
+def test_words_of_one_frame_make_no_crowd():
+    """Sentences of a few frames: far fewer rows share a key where words that come together fall into unlike parts, and no pair is lost."""
+    r = random.Random(6)
+    parts = max(m for _, m, _ in neardup.families(46, 0.7))
+    head = [f"f{k}w{i}" for i in range(4) for k in range(parts)] + [f"v{i}" for i in range(400)]  # by rank alone a frame is one part
+    sets = [frozenset([f"f{k}w{i}" for k in r.sample(range(parts), 4) for i in range(4)] + r.sample(head[4 * parts :], 30)) for _ in range(1500)]
+    sets += [s - {max(s)} | {"new"} for s in sets[:200]]
+    counts, rank = Counter(w for s in sets for w in s), {w: i for i, w in enumerate(head)}
+    shares = [counts[w] / len(sets) for w in head]
+    together = neardup._together([[rank[w] for w in s] for s in sets[:1000]], shares)
+    compared = []
+    for tokens in (neardup.Tokens(head, shares, 100_000), neardup.Tokens(head, shares, 100_000, together)):
+        key, rows = neardup.unpacked(neardup.packed(*neardup.anchor_rows([sorted(s) for s in sets], tokens, 0.7)).tobytes())
+        run = np.unique(key, return_counts=True)[1]
+        compared.append(int((run * (run - 1) // 2).sum()))
+    assert compared[1] < compared[0] / 4
+    found = set(map(tuple, neardup.within(key, rows, 0.7).T.tolist()))
+    name = lambda s: tuple(int(x[0]) for x in neardup.sketches(neardup._HASHES.of(sorted(s)), np.array([0])))
+    for a, b in zip(sets[:200], sets[1500:]):
+        x, y = sorted([name(a), name(b)])
+        assert (*x, *y) in found or x == y
+
+
+def test_near_duplicates_leave_no_table_of_the_texts(spark):
+    """The table of all texts that is read once is gone when the sets stand; words of the head and others are verified alike."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from quillon.llm import common
+
+    folder = Path(urlparse(common.shared_folder(spark)).path)
+    before = set(folder.iterdir())
+    df = memories(spark, [(f"m{i:02d}", " ".join([f"h{k}" for k in range(12)] + [f"é{i // 2}", f"only{i}"])) for i in range(20)] + [("none", None), ("dots", "...")])
+    near = neardup.near_duplicates(df, "id", "content", 0.85)
+    assert near.links.count() == 10 and near.members.count() == 20
+    tables = [spark.read.parquet(str(p)).columns for p in set(folder.iterdir()) - before if p.name.startswith("table-")]
+    assert tables and not [c for c in tables if {"seq", "set"} <= set(c)]
+    shared = type("Shared", (), {"value": neardup.Tokens(["a", "b"], [0.5, 0.5], 2)})
+    batch = pa.RecordBatch.from_pydict({"name": [b"n"] * 3, "words": [b"w"] * 3, "set": ["a\nb\né", "b", "c"]})
+    assert [neardup._words_of(c) for c in next(neardup._coded(shared)(iter([batch]))).column(2).to_pylist()] == [{0, 1, "é".encode()}, {1}, {b"c"}]
+
+
 # ---- 5 ----
 
 
